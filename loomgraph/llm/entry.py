@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, token_counts, token_store
-from loomgraph.llm._shared import table
+from loomgraph.llm import audio, bpe, fingerprints, mixing, simhash, token_counts, token_store, toxicity, url_filter, warc
+from loomgraph.llm._shared import table, written
 
 
 def tokenizer(name: str) -> str:
@@ -17,23 +18,71 @@ def tokenizer(name: str) -> str:
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in shards behind a perfect-hash index, read back by key."""
     docs = table(spark, sf_dir, "documents")
     stored = token_store.write(docs, tokenizer("byte_bpe_50k.json"), end_id=2)
     return token_store.read(spark, stored, docs.select("doc_id").distinct(), ids=False)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content-defined chunk sets, against the edited text and the next document."""
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture of the corpus's size with 95 % of the most entropy, at most 4 rounds a source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mixture(docs, mixing.Target()).select("doc_id", "source", "n_tokens", "round", "place", F.round("exponent", 6).alias("exponent"), F.round("weight", 8).alias("weight"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole tokens counted by lookup, the rest by merging."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by the rank queue, and what they decode to."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives and read back by the salvage reader."""
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    records = warc.read(spark, archives).filter("kind = 'record'")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of 4-word shingles, linked at 4 or fewer differing bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.Plan(words=4, bits=4, seed=42))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Verdict, host, path prefix.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, else host reputation; a page is a bad outcome if the label of its number has quality 0."""
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    found = url_filter.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES, limit=0.2)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as 8-bit samples in WAV files, stored, read back and described."""
+    stored = written(audio.media(table(spark, sf_dir, "documents")), "media", compression="zstd")
+    return audio.describe(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_windows")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by a classifier learnt from the labelled texts outside the held-out fold."""
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_store": op1_token_store,
-    "op4_token_counts": op4_token_counts,
-    "op5_byte_bpe": op5_byte_bpe,
+    f.__name__: f
+    for f in (op1_token_store, op2_fingerprints, op3_mixing, op4_token_counts, op5_byte_bpe, op6_warc, op7_simhash, op8_url_filter, op9_audio, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {}
