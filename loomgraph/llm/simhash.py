@@ -5,9 +5,9 @@ have a segment in which they differ in at most one.  For each bit the segment ar
 it without that bit is a signature, so such two share a signature: rows of equal signatures are
 brought together, and only those that pass the full distance are linked.
 
-Copies share a fingerprint and are one row from the start.  Within a signature's rows the links
-that are kept span each component and no more, found outward from one row at a time, so a family
-of near copies costs links in proportion to its size.  A signature with too many rows for one
+Copies share a fingerprint and are one row from the start.  Within a signature's rows links
+are followed outward from one row at a time, and what is kept joins each to the least of its
+component, so a family of near copies costs pairs in proportion to its size.  A signature with too many rows for one
 task is cut into blocks and its pairs of blocks are dealt out.  Components then grow together
 over tables in the shared folder.
 
@@ -171,8 +171,33 @@ def span(fp: np.ndarray, fp2: np.ndarray, near) -> list[tuple[np.ndarray, np.nda
     return out
 
 
+def star(fp: np.ndarray, fp2: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Positions (root, other) that join what the links (a, b) join: each fingerprint to the least one
+    of its component.  The least is often the same under many signatures, and so are such pairs."""
+    order = np.lexsort((fp2, fp))
+    new = np.concatenate([[True], (fp[order][1:] != fp[order][:-1]) | (fp2[order][1:] != fp2[order][:-1])])
+    node = np.empty(len(fp), np.int64)
+    node[order] = np.cumsum(new) - 1
+    at = order[new]  # a position of each node
+    a, b = node[a], node[b]
+    root = np.arange(len(at))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    other = np.flatnonzero(root != np.arange(len(root)))
+    return (at[root[other]], at[other]) if len(other) else None
+
+
 def links(rows: DataFrame, plan: Plan, small: int = 16) -> DataFrame:
-    """a, b (and a2, b2 if ``wide``): the links among the rows of each key, distinct."""
+    """a, b (and a2, b2 if ``wide``), distinct: pairs that join what links among the rows of a key join.
+
+    A pair may itself differ in more bits than a link; a chain of links leads from one to the other.
+    """
     most, wide = plan.most, plan.wide
     names = ["a", "a2", "b", "b2"] if wide else ["a", "b"]
 
@@ -221,9 +246,8 @@ def links(rows: DataFrame, plan: Plan, small: int = 16) -> DataFrame:
             for g in np.flatnonzero(~few).tolist():
                 i, j = begin[g], begin[g] + size[g]
                 found += [(a + i, b + i) for a, b in span(fp[i:j], fp2[i:j], near)]
-            if found:
-                sides = [np.concatenate(x) for x in zip(*found)]
-                columns = [half[x].view(np.int64) for x in sides for half in ((fp, fp2) if wide else (fp,))]
+            if found and (stars := star(fp, fp2, *[np.concatenate(x) for x in zip(*found)])):
+                columns = [half[x].view(np.int64) for x in stars for half in ((fp, fp2) if wide else (fp,))]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
     n = partitions(rows.sparkSession)
