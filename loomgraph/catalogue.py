@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from loomgraph.queries import agreement, boxes, cases, labels, logs, planners, tokens  # noqa: F401  (they register themselves)
+from loomgraph.queries._registry import ORACLES, QUERIES
 
 FLAGSHIP = "edge_multiset_f1"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
