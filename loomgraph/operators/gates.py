@@ -13,13 +13,23 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Gate:
-    """``kind``: all_true, all_false, sum_zero, mean (at least ``required``) or count (at least)."""
+    """What a gate asks of the rows that ``where`` picks.
+
+    ``kind``: all_true (``value`` is true in all; missing is not true), all_false (true in none),
+    sum_zero (adds up to 0), mean (of what is there, at least ``required``), ratio (sum of
+    ``value`` over sum of ``per``, at least ``required``), ratio_max (at most), count (rows, at
+    least), any (``value`` is true in one).  ``needs``: unavailable without any row, for the kinds
+    that otherwise pass then.  ``complete``: unavailable if ``value`` is missing in some row.
+    """
 
     name: str
     kind: str
-    value: str
+    value: str = "true"
     where: str = "true"
     required: float = 1.0
+    per: str = "1"
+    needs: bool = False
+    complete: bool = False
 
 
 # fixed values: least results of the quality gates
@@ -28,23 +38,32 @@ TARGETS = {"structural_precision": 0.88, "structural_recall": 0.85, "core_type_a
 FIXTURES = {"flowchart": 100, "uml": 100, "architecture_c4": 80, "bpmn_swimlane": 80, "planning": 80, "data_chart": 120, "mindmap_tree": 50, "specialized": 100, "negative": 150}
 
 
+# fixed values: types of which one real case each must come through
+FUNCTIONAL = ("flowchart", "swimlane", "sequence", "state", "class", "er", "architecture", "c4", "requirement", "mindmap", "timeline", "gantt", "kanban", "pie", "xychart", "quadrant", "sankey", "radar", "treemap", "venn", "packet", "ishikawa")
+
+
 def evaluate(rows: DataFrame, gates: list[Gate]) -> DataFrame:
     """gate, status, observed, required, sample_count: one pass over the rows for all gates."""
     aggs = []
     for i, g in enumerate(gates):
         inside = F.expr(g.where)
-        v = F.expr(g.value).cast("double")
-        picked = F.when(inside, v)
-        aggs += [F.count(F.when(inside, 1)).alias(f"n{i}"), F.count(picked).alias(f"k{i}"), (F.sum(picked) if g.kind == "sum_zero" else F.avg(picked)).alias(f"v{i}")]
+        truth = g.kind in ("all_true", "all_false", "any")
+        v = F.coalesce(F.expr(g.value).cast("boolean"), F.lit(False)).cast("double") if truth else F.expr(g.value).cast("double")
+        aggs += [
+            F.count(F.when(inside, 1)).alias(f"n{i}"), F.count(F.when(inside, F.expr(g.value))).alias(f"k{i}"), F.coalesce(F.sum(F.when(inside, v)), F.lit(0.0)).alias(f"s{i}"),
+            (F.sum(F.when(inside, F.expr(g.per).cast("double"))) if g.kind.startswith("ratio") else F.lit(None).cast("double")).alias(f"p{i}"),
+        ]
     one = rows.agg(*aggs)
     structs = []
     for i, g in enumerate(gates):
-        n, k, v = F.col(f"n{i}"), F.col(f"k{i}"), F.col(f"v{i}")
-        missing = (n == 0) | (k < n)
-        good = {"all_true": v == 1, "all_false": v == 0, "sum_zero": v == 0, "mean": v >= g.required, "count": n >= g.required}[g.kind]
-        status = F.when(good, "pass").otherwise("fail") if g.kind == "count" else F.when(missing, "unavailable").when(good, "pass").otherwise("fail")
-        seen = n.cast("double") if g.kind == "count" else F.when(~missing, v)
-        structs.append(F.struct(F.lit(g.name).alias("gate"), status.alias("status"), F.round(seen, 9).alias("observed"), F.lit(float(0 if g.kind in ("all_false", "sum_zero") else g.required)).alias("required"), n.alias("sample_count")))
+        n, k, s, per = (F.col(f"{c}{i}") for c in "nksp")
+        zero = g.kind in ("all_false", "sum_zero")
+        seen = {"all_true": s / n, "all_false": s, "sum_zero": s, "mean": s / F.nullif(k, F.lit(0)), "ratio": s / F.nullif(per, F.lit(0.0)), "ratio_max": s / F.nullif(per, F.lit(0.0)), "count": n.cast("double"), "any": F.when(s > 0, 1.0).otherwise(0.0)}[g.kind]
+        missing = F.lit(False) if g.kind in ("count", "any") or zero and not g.needs else n == 0
+        missing = missing | seen.isNull() | (F.lit(g.complete) & (k < n))
+        good = {"all_true": s == n, "all_false": s == 0, "sum_zero": s == 0, "ratio_max": seen <= g.required, "any": s > 0}.get(g.kind, seen >= g.required)
+        status = F.when(F.coalesce(missing, F.lit(True)), "unavailable").when(good, "pass").otherwise("fail")
+        structs.append(F.struct(F.lit(g.name).alias("gate"), status.alias("status"), F.when(status != "unavailable", F.round(seen, 9)).alias("observed"), F.lit(float(0 if zero else g.required)).alias("required"), n.alias("sample_count")))
     return one.select(F.explode(F.array(*structs)).alias("g")).select("g.*")
 
 

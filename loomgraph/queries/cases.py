@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import policy
 from loomgraph.operators import gates
+from loomgraph.plans import release
 from loomgraph.queries._registry import query
 from loomgraph.sources import corpora
 
@@ -69,22 +70,26 @@ GATES = [
     gates.Gate("none_is_empty", "all_false", "n_chars = 0"),
     gates.Gate("no_toxic_english", "sum_zero", "toxic", "lang = 'en' and toxic is not null"),
     gates.Gate("type_accuracy", "mean", "quality", "quality is not null", gates.TARGETS["core_type_accuracy"]),
-    gates.Gate("accept_rate", "mean", "quality", "lang = 'de'", gates.TARGETS["human_accept_rate"]),
+    gates.Gate("accept_rate", "mean", "quality", "lang = 'de'", gates.TARGETS["human_accept_rate"], complete=True),
     gates.Gate("enough_cases", "count", "1", "lang = 'fr'", gates.FIXTURES["flowchart"]),
     gates.Gate("enough_negatives", "count", "1", "toxic = 1", gates.FIXTURES["negative"]),
     gates.Gate("no_such_language", "all_true", "true", "lang = 'xx'"),
+    gates.Gate("none_of_such_language", "all_false", "true", "lang = 'xx'"),
+    gates.Gate("some_of_such_language", "all_false", "true", "lang = 'xx'", needs=True),
 ]
 
 
-def _gate_sql(g):
-    v, w = f"CAST(({g.value}) AS DOUBLE)", g.where
-    n = f"count(*) FILTER (WHERE {w})"
-    k = f"count({v}) FILTER (WHERE {w})"
-    agg = f"{'sum' if g.kind == 'sum_zero' else 'avg'}({v}) FILTER (WHERE {w})"
-    good = {"all_true": f"{agg} = 1", "all_false": f"{agg} = 0", "sum_zero": f"{agg} = 0", "mean": f"{agg} >= {g.required}", "count": f"{n} >= {g.required}"}[g.kind]
-    missing = "false" if g.kind == "count" else f"({n} = 0 OR {k} < {n})"
-    seen = f"CAST({n} AS DOUBLE)" if g.kind == "count" else f"CASE WHEN NOT {missing} THEN round({agg}, 9) END"
-    return f"SELECT '{g.name}' AS gate, CASE WHEN {missing} THEN 'unavailable' WHEN {good} THEN 'pass' ELSE 'fail' END AS status, {seen} AS observed, CAST({0 if g.kind in ('all_false', 'sum_zero') else g.required} AS DOUBLE) AS required, CAST({n} AS BIGINT) AS sample_count FROM c"
+def _gate_sql(g, table="c"):
+    w, zero = g.where, g.kind in ("all_false", "sum_zero")
+    v = f"CAST(coalesce(CAST(({g.value}) AS BOOLEAN), false) AS DOUBLE)" if g.kind in ("all_true", "all_false", "any") else f"CAST(({g.value}) AS DOUBLE)"
+    n, k = f"count(*) FILTER (WHERE {w})", f"count({g.value}) FILTER (WHERE {w})"
+    s = f"coalesce(sum({v}) FILTER (WHERE {w}), 0)"
+    per = f"nullif(sum(CAST(({g.per}) AS DOUBLE)) FILTER (WHERE {w}), 0)"
+    seen = {"all_true": f"{s} / nullif({n}, 0)", "all_false": s, "sum_zero": s, "mean": f"{s} / nullif({k}, 0)", "ratio": f"{s} / {per}", "ratio_max": f"{s} / {per}", "count": f"CAST({n} AS DOUBLE)", "any": f"CASE WHEN {s} > 0 THEN 1.0 ELSE 0.0 END"}[g.kind]
+    good = {"all_true": f"{s} = {n}", "all_false": f"{s} = 0", "sum_zero": f"{s} = 0", "ratio_max": f"{seen} <= {g.required}", "any": f"{s} > 0"}.get(g.kind, f"{seen} >= {g.required}")
+    missing = ["false" if g.kind in ("count", "any") or zero and not g.needs else f"{n} = 0", f"({seen}) IS NULL", *([f"{k} < {n}"] if g.complete else [])]
+    missing = "(" + " OR ".join(missing) + ")"
+    return f"SELECT '{g.name}' AS gate, CASE WHEN {missing} THEN 'unavailable' WHEN {good} THEN 'pass' ELSE 'fail' END AS status, CAST(CASE WHEN NOT {missing} THEN round({seen}, 9) END AS DOUBLE) AS observed, CAST({0 if zero else g.required} AS DOUBLE) AS required, CAST({n} AS BIGINT) AS sample_count FROM {table}"
 
 
 GATE_SQL = C + ", g AS (" + " UNION ALL ".join(map(_gate_sql, GATES)) + ")"
@@ -162,3 +167,28 @@ def case_metrics(spark, sf_dir):
     f = lambda *x: F.count(F.when(F.col("l_returnflag").isin(*x), 1))
     den = F.nullif(2 * f("A") + f("N", "R"), F.lit(0).cast("long"))
     return corpora.table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 500).alias("case_id")).agg(f("A").alias("tp"), f("N").alias("fp"), f("R").alias("fn"), F.round(2.0 * f("A") / den, 9).alias("f1"))
+
+
+# columns of a release corpus, made up from documents in a way that any engine computes alike
+RELEASE = {
+    "case_id": "doc_id", "scope": "CASE doc_id % 7 WHEN 0 THEN 'detector' WHEN 1 THEN 'serializer' WHEN 2 THEN 'fault_probe' ELSE 'end_to_end' END", "expected": "doc_id % 5 <> 0",
+    "fixture_group": "CASE doc_id % 9 WHEN 0 THEN 'flowchart' WHEN 1 THEN 'uml' WHEN 2 THEN 'architecture_c4' WHEN 3 THEN 'bpmn_swimlane' WHEN 4 THEN 'planning' WHEN 5 THEN 'data_chart' WHEN 6 THEN 'mindmap_tree' WHEN 7 THEN 'specialized' ELSE 'negative' END",
+    "origin": "CASE WHEN doc_id % 3 = 0 THEN 'real' ELSE 'synthetic' END", "kind": "CASE doc_id % 4 WHEN 0 THEN 'flowchart' WHEN 1 THEN 'architecture' WHEN 2 THEN 'pie' ELSE 'state' END", "said": "CASE n_chars % 4 WHEN 0 THEN 'flowchart' WHEN 1 THEN 'architecture' WHEN 2 THEN 'pie' ELSE 'state' END",
+    "stability": "CASE doc_id % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'extended' ELSE 'experimental' END", "reconstructed": "n_chars % 10 <> 0", "published": "n_chars % 10 > 2", "syntax_valid": "n_chars % 10 <> 3", "render_valid": "CASE WHEN n_chars % 11 <> 0 THEN n_chars % 10 <> 4 END", "grade": "CASE n_chars % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' ELSE 'U' END",
+    "original_preserved": "true", "document_failed": "false", "forbidden_actions": "0", "duplicate_insertions": "CAST(n_chars % 97 = 0 AS INT)", "orphans": "0", "over_budget": "false", "nodes": "n_chars % 13", "supported": "n_chars % 13 - CAST(n_chars % 3 = 0 AND n_chars % 13 > 0 AS INT)", "warned": "n_chars % 2 = 0", "sidecar": "true", "reviewable": "true", "precision": "CASE WHEN n_chars % 6 <> 0 THEN 0.5 END",
+    "elements": "n_chars % 13 + 1", "texts": "n_chars % 3", "labels": "n_chars % 3", "numeric": "CASE WHEN n_chars % 8 <> 0 THEN n_chars % 2 = 0 END", "accepted": "n_chars % 4 <> 0", "tp": "n_chars % 17", "fp": "n_chars % 3", "fn": "n_chars % 4", "edge_tp": "n_chars % 19", "edge_fp": "n_chars % 5", "edge_fn": "n_chars % 2", "path_tp": "n_chars % 23", "path_fp": "n_chars % 5", "path_fn": "n_chars % 7", "path_applies": "n_chars % 3 = 0", "path_known": "true", "ocr_found": "n_chars % 29", "ocr_wanted": "n_chars % 29 + n_chars % 4", "node_found": "n_chars % 11", "node_wanted": "n_chars % 11 + n_chars % 2", "numbers_equal": "n_chars % 5 <> 0",
+}
+RELEASE_SQL = "WITH r AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in RELEASE.items()) + " FROM documents), g AS (" + " UNION ALL ".join(f"SELECT '{s}' AS section, * FROM ({_gate_sql(g, 'r')})" for s, gs in release.SECTIONS.items() for g in gs) + ")"
+
+
+@query(RELEASE_SQL + " SELECT * FROM g")
+def release_gates(spark, sf_dir):
+    """All gates of a release over a corpus of evaluated cases, in one pass."""
+    d = corpora.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return release.evaluate(d.select(*[F.expr(v).alias(k) for k, v in RELEASE.items()]))
+
+
+@query(RELEASE_SQL + " SELECT section, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'unavailable') THEN 'unavailable' ELSE 'pass' END AS status FROM g GROUP BY section")
+def release_sections(spark, sf_dir):
+    """The status of each section of a release."""
+    return gates.overall(release_gates(spark, sf_dir), ["section"])

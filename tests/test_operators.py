@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import geom, numeric, policy, temporal, text
 from loomgraph.operators import align, bags, folds, fusion, gates, graph, repair, review, spatial
-from loomgraph.plans import charts, network, ordered, trees
+from loomgraph.plans import charts, network, ordered, release, trees
 
 
 def values(df, *columns):
@@ -138,10 +138,21 @@ def test_grades_and_policy(spark):
 
 
 def test_gates_fail_closed(spark):
-    rows = spark.createDataFrame([(1.0, "x"), (None, "x"), (1.0, "y")], "v double, k string")
-    g = gates.evaluate(rows, [gates.Gate("a", "all_true", "v", "k = 'x'"), gates.Gate("b", "all_true", "v", "k = 'y'"), gates.Gate("c", "mean", "v", "k = 'z'"), gates.Gate("d", "count", "1", "true", 4)])
-    assert {r.gate: r.status for r in g.collect()} == {"a": "unavailable", "b": "pass", "c": "unavailable", "d": "fail"}
-    assert gates.overall(g).first().status == "fail" and gates.overall(g.filter("gate <> 'd'")).first().status == "unavailable"
+    rows = spark.createDataFrame([(True, 1, "x"), (None, 1, "x"), (True, 0, "y")], "v boolean, s int, k string")
+    G = gates.Gate
+    wanted = {
+        G("missing is not true", "all_true", "v", "k = 'x'"): "fail", G("true", "all_true", "v", "k = 'y'"): "pass", G("nothing", "all_true", "v", "k = 'z'"): "unavailable",
+        G("no violation", "all_false", "v", "k = 'z'"): "pass", G("no sample", "all_false", "v", "k = 'z'", needs=True): "unavailable", G("violation", "all_false", "v"): "fail",
+        G("sum", "sum_zero", "s", "k = 'y'"): "pass", G("mean", "mean", "s", "k = 'z'"): "unavailable", G("over", "ratio_max", "s", "true", 0.5, "1"): "fail", G("no denominator", "ratio", "s", "true", 0.5, "0"): "unavailable",
+        G("incomplete", "mean", "CASE WHEN v THEN 1 END", "true", 0.5, complete=True): "unavailable", G("few", "count", "1", "true", 4): "fail", G("one", "any", "v", "k = 'x'"): "pass",
+    }
+    g = gates.evaluate(rows, list(wanted))
+    assert {r.gate: r.status for r in g.collect()} == {k.name: v for k, v in wanted.items()}
+    assert gates.overall(g).first().status == "fail" and gates.overall(g.filter("status <> 'fail'")).first().status == "unavailable"
+
+
+def test_a_release_has_all_gates():
+    assert {s: len(g) for s, g in release.SECTIONS.items()} == {"hard": 14, "annotation": 4, "fixture": 9, "functional": 22, "quality": 10}
 
 
 BOXES = "page long, id long, x1 double, y1 double, x2 double, y2 double, score double"
