@@ -85,4 +85,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_token_store, op2_fingerprints, op3_mixing, op4_token_counts, op5_byte_bpe, op6_warc, op7_simhash, op8_url_filter, op9_audio, op10_toxicity)
 }
 
-ORACLES: dict[str, str] = {}
+#: Base32 of a SHA-1 in hex: five hex digits are four letters.
+_BASE32 = "array_to_string(list_transform(range(0, 40, 5), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(sha, i + 1, 5) AS BIGINT) >> k) & 31) + 1 AS INTEGER), 1)), '')), '')"
+
+_WARC = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages), r AS (SELECT *, max(page_id) OVER (PARTITION BY sha, html) AS first FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM r"""
+
+_FITS = "(host = '{1}' OR ends_with(host, '.{1}')) AND starts_with(path, '{2}')"
+_RULE, _KIND = ("CASE " + " ".join(f"WHEN {_FITS.format(*r)} THEN '{x(r)}'" for r in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))) + " END" for x in (lambda r: r[1] + r[2], lambda r: r[0]))
+
+
+def _shrink(key: str, keep: str, above: str) -> str:
+    """SQL of one level of reputation: ``above`` is the level whose mean is the prior."""
+    return f"""{key}_j AS (SELECT t.*, u.mean AS m FROM {key}_n t JOIN {above}), {key}_k AS (SELECT (sum(pow(bad - n * m, 2)) - sum(m * (1 - m) * n)) / nullif(sum(m * (1 - m) * n * (n - 1)), 0) AS share FROM {key}_j),
+  {key}_r AS (SELECT {keep}, (bad + m * kappa) / (n + kappa) AS mean, n + kappa AS weight FROM {key}_j, (SELECT CASE WHEN share > 0 THEN greatest(1.0, least(1000.0, 1 / share - 1)) ELSE 1000.0 END AS kappa FROM {key}_k))"""
+
+
+_LEVELS = r"""regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '')"""
+_URLS = f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host, CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path FROM pages),
+  o AS (SELECT u.host, CAST(1 - quality AS DOUBLE) AS bad FROM u JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL), hosts AS (SELECT DISTINCT host, {_LEVELS} AS bare FROM u),
+  named AS (SELECT host, CASE WHEN contains(bare, '.') THEN array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.') ELSE bare END AS domain, CASE WHEN contains(bare, '.') THEN string_split(bare, '.')[-1] ELSE bare END AS suffix FROM hosts),
+  host_n AS (SELECT o.host, any_value(domain) AS domain, any_value(suffix) AS suffix, CAST(count(*) AS DOUBLE) AS n, sum(bad) AS bad FROM o JOIN named USING (host) GROUP BY o.host),
+  domain_n AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM host_n GROUP BY 1, 2), suffix_n AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domain_n GROUP BY 1),
+  every AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean, coalesce(sum(n), 0) + 2 AS weight FROM suffix_n),
+  {_shrink('suffix', 'suffix', 'every u ON true')}, {_shrink('domain', 'domain, suffix', 'suffix_r u ON u.suffix = t.suffix')}, {_shrink('host', 'host', 'domain_r u ON u.domain = t.domain')},
+  rate AS (SELECT host, CASE WHEN h.mean IS NOT NULL THEN h.mean WHEN d.mean IS NOT NULL THEN d.mean WHEN s.mean IS NOT NULL THEN s.mean ELSE every.mean END AS mean, CASE WHEN h.mean IS NOT NULL THEN h.weight WHEN d.mean IS NOT NULL THEN d.weight WHEN s.mean IS NOT NULL THEN s.weight ELSE every.weight END AS weight
+    FROM named LEFT JOIN host_r h USING (host) LEFT JOIN domain_r d ON d.domain = named.domain LEFT JOIN suffix_r s ON s.suffix = named.suffix CROSS JOIN every)
+SELECT page_id, host, path, {_RULE} AS rule, coalesce({_KIND}, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.2 THEN 'block' ELSE 'allow' END) AS verdict FROM u JOIN rate USING (host)"""
+
+#: The others encode, hash by chunk, train or follow links; tests hold them against plain versions.
+ORACLES: dict[str, str] = {"op6_warc": _WARC, "op8_url_filter": _URLS}
