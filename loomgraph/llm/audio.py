@@ -173,7 +173,9 @@ def describe(stored: DataFrame, s: Settings = Settings(), folder: str | None = N
     """What the stored media hold, with their tensors written to Arrow files in ``folder``.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
-    n_windows and segments (begin and end in seconds).  One pass, no shuffle.
+    n_windows, segments (begin and end in seconds) and tensor_file, the file in ``folder`` that has the
+    row's tensors; files that no row names are left from tasks that were run again.  One pass, no
+    shuffle.
     """
     spark = stored.sparkSession
     ready(spark)
@@ -181,6 +183,7 @@ def describe(stored: DataFrame, s: Settings = Settings(), folder: str | None = N
 
     def run(batches):
         writer = sink = None
+        name = f"mel-{uuid.uuid4().hex}.arrow"
         for batch in batches:
             rows, ids, spans, tensors = [], [], [], []
             for doc, n, data in zip(*[c.to_pylist() for c in batch.columns]):
@@ -191,13 +194,13 @@ def describe(stored: DataFrame, s: Settings = Settings(), folder: str | None = N
                 tensors.append(t)
                 mean = np.round(t.astype(np.float64).reshape(-1, s.mels).mean(0), 2).tolist()
                 feature = f"w{len(span)};s{len(found)};" + ",".join(f"{x:g}" for x in mean) + ";" + hashlib.sha256(t.tobytes()).hexdigest()[:16]
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(span), [{"begin_s": a, "end_s": b} for a, b in found]))
+                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(span), [{"begin_s": a, "end_s": b} for a, b in found], name))
             if not rows:
                 continue
             if writer is None:
                 system, top = store(folder)
                 system.create_dir(top, recursive=True)
-                sink = system.open_output_stream(f"{top}/mel-{uuid.uuid4().hex}.arrow")
+                sink = system.open_output_stream(f"{top}/{name}")
                 writer = pa.ipc.new_file(sink, tensor_schema(s), options=pa.ipc.IpcWriteOptions(compression="zstd"))
             tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(np.concatenate(tensors)))
             writer.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([a for a, _ in spans]), pa.array([b for _, b in spans]), tensor], schema=tensor_schema(s)))
@@ -206,8 +209,8 @@ def describe(stored: DataFrame, s: Settings = Settings(), folder: str | None = N
             writer.close()
             sink.close()
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_windows int, segments array<struct<begin_s: double, end_s: double>>"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_windows int, segments array<struct<begin_s: double, end_s: double>>, tensor_file string"
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
-ROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_windows", pa.int32()), ("segments", pa.list_(pa.struct([("begin_s", pa.float64()), ("end_s", pa.float64())])))])
+ROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_windows", pa.int32()), ("segments", pa.list_(pa.struct([("begin_s", pa.float64()), ("end_s", pa.float64())]))), ("tensor_file", pa.string())])

@@ -206,7 +206,9 @@ def test_tensors_are_stored(spark, documents, tmp_path):
     import pyarrow as pa
 
     s = audio.Settings()
-    n = sum(r.n_windows for r in audio.describe(audio.media(documents), s, f"file://{tmp_path}").collect())
+    rows = audio.describe(audio.media(documents), s, f"file://{tmp_path}").collect()
+    n = sum(r.n_windows for r in rows)
+    assert {r.tensor_file for r in rows} == {p.name for p in tmp_path.glob("*.arrow")}
     tables = [pa.ipc.open_file(p.open("rb")).read_all() for p in tmp_path.glob("*.arrow")]
     assert sum(t.num_rows for t in tables) == n
     assert tables[0].schema.field("log_mel").type.shape == [s.window, s.mels]
