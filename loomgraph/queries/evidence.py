@@ -52,12 +52,12 @@ def fused_types(spark, sf_dir):
     return fusion.fuse_types(rows, ["g"]).select("g", "diagram_type", F.round("score", 6).alias("score"))
 
 
-@query("""WITH d AS (SELECT doc_id, chr(65279) || '```mermaid' || chr(10) || 'flowchart LR' || CASE WHEN doc_id % 2 = 0 THEN chr(13) ELSE '' END || chr(10) || '  a["' || source || CASE WHEN doc_id % 3 = 0 THEN '"' ELSE '' END || ']' || chr(10) || '```' AS code, source FROM documents)
+@query("""WITH d AS (SELECT doc_id, chr(65279) || '```diagram' || chr(10) || 'flowchart LR' || CASE WHEN doc_id % 2 = 0 THEN chr(13) ELSE '' END || chr(10) || '  a["' || source || CASE WHEN doc_id % 3 = 0 THEN '"' ELSE '' END || ']' || chr(10) || '```' AS code, source FROM documents)
 SELECT doc_id, 'flowchart LR' || chr(10) || '  a["' || source || '"]' || chr(10) AS cleaned, true AS stable, CAST(3 + CAST(doc_id % 2 = 0 AS INTEGER) + CAST(doc_id % 3 <> 0 AS INTEGER) AS INTEGER) AS events FROM d""")
 def code_repair(spark, sf_dir):
     """Code without byte-order mark and fence, with closed quotes; a second pass changes nothing."""
     i = F.col("doc_id")
-    code = F.concat(F.lit("﻿```mermaid\nflowchart LR"), F.when(i % 2 == 0, "\r").otherwise(""), F.lit('\n  a["'), F.col("source"), F.when(i % 3 == 0, '"').otherwise(""), F.lit("]\n```"))
+    code = F.concat(F.lit("﻿```diagram\nflowchart LR"), F.when(i % 2 == 0, "\r").otherwise(""), F.lit('\n  a["'), F.col("source"), F.when(i % 3 == 0, '"').otherwise(""), F.lit("]\n```"))
     d = corpora.table(spark, sf_dir, "documents").select("doc_id", code.alias("code"))
     cleaned = repair.clean_code(F.col("code"))
     return d.select("doc_id", cleaned.alias("cleaned"), (repair.clean_code(cleaned) == cleaned).alias("stable"), F.size(repair.code_events(F.col("code"))).alias("events"))

@@ -34,7 +34,7 @@ def bundle(artifacts: DataFrame, path: str) -> DataFrame:
     return artifacts.sparkSession.read.json(f"{path}/manifest")
 
 
-def fenced(image: Column, code: Column, language: str = "mermaid") -> Column:
+def fenced(image: Column, code: Column, language: str = "diagram") -> Column:
     """Markdown of a reconstruction: its image first, then at most one fence, longer than any in it."""
     inside = F.regexp_extract_all(code, F.lit("(`{3,})"), F.lit(1))
     fence = F.rpad(F.lit(""), F.greatest(F.lit(3), F.coalesce(F.array_max(F.transform(inside, F.length)), F.lit(0)) + 1), "`")

@@ -47,7 +47,7 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception):
         sinks.bundle(parts, f"{tmp_path}/b")
     r = spark.range(1).select(sinks.fenced(F.lit("i.png"), F.lit("a ```` b")).alias("x"), sinks.fenced(F.lit("i.png"), F.lit(None).cast("string")).alias("y")).first()
-    assert r.x.startswith("![](i.png)\n\n`````mermaid\n") and r.y == "![](i.png)"
+    assert r.x.startswith("![](i.png)\n\n`````diagram\n") and r.y == "![](i.png)"
     blocks = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "doc long, pos int, text string")
     assert sinks.document(blocks).first().markdown == "a\n\nb"
 

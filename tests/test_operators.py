@@ -291,7 +291,7 @@ def test_folds_stream_over_batches(spark):
 
 
 def test_repairs(spark):
-    code = F.lit('﻿```mermaid\nflowchart LR\r\n  a["x]\n```')
+    code = F.lit('﻿```diagram\nflowchart LR\r\n  a["x]\n```')
     assert one(spark, x=repair.clean_code(code)).x == 'flowchart LR\n  a["x"]\n'
     assert one(spark, x=repair.code_events(F.lit("flowchart LR\n"))).x == []
     lines = spark.createDataFrame([(1, 1, "a[x]"), (1, 2, "a[x]"), (1, 3, "a --> b"), (1, 4, "a --> b")], "g long, pos int, line string")
