@@ -1,7 +1,9 @@
 """Arcs, paths, cycles and trees.
 
-Graphs are edge rows with a graph key; recursion is SQL's own, bounded in depth by its predicate,
-and a graph whose paths exceed the budget is unavailable as a whole, never cut short.
+Graphs are edge rows with a graph key.  What can take exponentially many steps (paths) or must not
+revisit (cycles) is a fold over one graph's distinct arcs, with budgets: a graph that exceeds one is
+unavailable as a whole, never cut short.  Trees are flattened by recursive SQL, as each node comes up
+once.
 """
 
 from __future__ import annotations
@@ -11,9 +13,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators import folds
 from loomgraph.sources.shared import settled
 
-PATHS, STATES = 10_000, 100_000
+# fixed values: most paths, steps and arcs of a graph
+PATHS, STATES, ARCS = 10_000, 100_000, 10_000
 
 
 def arcs(relations: DataFrame, *keep: str) -> DataFrame:
@@ -54,49 +58,88 @@ def _view(df: DataFrame) -> str:
     return name
 
 
-def simple_paths(edges: DataFrame, depth: int = 16) -> DataFrame:
-    """g, path: from every root to every terminal without a repeated node.  edges: g, src, dst.
-
-    Where more than PATHS paths end, the graph is left out; ``paths_or_null`` tells which.
-    """
-    spark = edges.sparkSession
-    # every level of the recursion reads the arcs again
-    arcs_ = settled(edges.select("g", "src", "dst").distinct(), "arcs")
-    nodes = roots_and_terminals(arcs_, ["g"])
-    nodes = settled(nodes, "ends")
-    e, r, t = _view(arcs_), _view(nodes.filter("role = 'root'")), _view(nodes.filter("role = 'terminal'"))
-    return spark.sql(f"""
-        WITH RECURSIVE walk(g, node, path) MAX RECURSION LEVEL {depth + 2} AS (
-            SELECT g, node, array(node) FROM {r}
-            UNION ALL
-            SELECT w.g, e.dst, concat(w.path, array(e.dst)) FROM walk w JOIN {e} e ON w.g = e.g AND w.node = e.src
-            WHERE NOT array_contains(w.path, e.dst) AND size(w.path) < {depth}
-        )
-        SELECT w.g, w.path FROM walk w JOIN {t} t ON w.g = t.g AND w.node = t.node WHERE size(w.path) >= 2
-    """)
-
-
-def path_counts(edges: DataFrame, depth: int = 16) -> DataFrame:
-    """g, paths: null where there are too many."""
-    n = simple_paths(edges, depth).groupBy("g").agg(F.count("*").alias("paths"))
-    return n.withColumn("paths", F.when(F.col("paths") <= PATHS, F.col("paths")))
-
-
-def acyclic(edges: DataFrame, depth: int = 16) -> DataFrame:
-    """g, nodes, acyclic: whether no walk comes back to where it began.  edges: g, src, dst."""
-    spark = edges.sparkSession
-    edges = settled(edges.select("g", "src", "dst").distinct(), "arcs")
-    e = _view(edges)
-    back = spark.sql(f"""
-        WITH RECURSIVE reach(g, src, dst, d) MAX RECURSION LEVEL {depth + 2} AS (
-            SELECT g, src, dst, 1 FROM {e}
-            UNION ALL
-            SELECT r.g, r.src, e.dst, r.d + 1 FROM reach r JOIN {e} e ON r.g = e.g AND r.dst = e.src WHERE r.src <> r.dst AND r.d < {depth}
-        )
-        SELECT DISTINCT g, true AS back FROM reach WHERE src = dst
-    """)
-    nodes = ends(edges, ["g"]).groupBy("g").agg(F.count("*").alias("nodes"))
-    return nodes.join(back, "g", "left").select("g", "nodes", F.col("back").isNull().alias("acyclic"))
+def _arcs_of(rows, most: int) -> dict | None:
+    """Adjacency of a graph, None beyond ``most`` arcs."""
+    out: dict = {}
+    for n, (src, dst) in enumerate(rows):
+        if n >= most:
+            return None
+        out.setdefault(src, []).append(dst)
+        out.setdefault(dst, [])
+    return out
+
+
+def simple_paths(edges: DataFrame, paths: int = PATHS, states: int = STATES) -> DataFrame:
+    """g, path: from every root to every terminal without a repeated node, at least two nodes; a single
+    null path where the graph has too many arcs, steps or paths.  edges: g, src, dst."""
+    kinds = dict(edges.dtypes)
+
+    def step(g, rows):
+        to = _arcs_of(rows, ARCS)
+        if to is None:
+            yield g, None
+            return
+        entered = {d for out in to.values() for d in out}
+        found, steps = [], 0
+        for root in sorted(n for n in to if n not in entered):
+            trail, on, ways = [root], {root}, [iter(to[root])]
+            while ways:
+                nxt = next(ways[-1], None)
+                if nxt is None:
+                    ways.pop()
+                    on.discard(trail.pop())
+                    continue
+                steps += 1
+                if steps > states or len(found) > paths:
+                    yield g, None
+                    return
+                if nxt in on:
+                    continue
+                if not to[nxt]:
+                    found.append([*trail, nxt])
+                    continue
+                trail.append(nxt)
+                on.add(nxt)
+                ways.append(iter(to[nxt]))
+        if len(found) > paths:
+            yield g, None
+            return
+        for path in found:
+            yield g, path
+
+    rows = edges.select("g", "src", "dst").distinct()
+    return folds.fold(rows, "g", ["src", "dst"], step, f"g {kinds['g']}, path array<{kinds['src']}>")
+
+
+def path_counts(edges: DataFrame) -> DataFrame:
+    """g, paths: null where there are too many; graphs without a path are not in it."""
+    return simple_paths(edges).groupBy("g").agg(F.when(F.count("path") == F.count("*"), F.count("*")).alias("paths"))
+
+
+def acyclic(edges: DataFrame) -> DataFrame:
+    """g, nodes, acyclic: whether taking away nodes that nothing enters leaves none; null beyond ARCS."""
+    kind = dict(edges.dtypes)["g"]
+
+    def step(g, rows):
+        to = _arcs_of(rows, ARCS)
+        if to is None:
+            yield g, None, None
+            return
+        entered = dict.fromkeys(to, 0)
+        for out in to.values():
+            for d in out:
+                entered[d] += 1
+        free = [n for n, k in entered.items() if not k]
+        gone = 0
+        while free:
+            gone += 1
+            for d in to[free.pop()]:
+                entered[d] -= 1
+                if not entered[d]:
+                    free.append(d)
+        yield g, len(to), gone == len(to)
+
+    return folds.fold(edges.select("g", "src", "dst").distinct(), "g", ["src", "dst"], step, f"g {kind}, nodes long, acyclic boolean")
 
 
 def preorder(tree: DataFrame, depth: int = 64) -> DataFrame:

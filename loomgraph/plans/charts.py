@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import geom, numeric, text
+from loomgraph.operators import spatial
 
 # fixed values: most records that a native chart shows
 SLICES, SERIES, POINTS = 12, 10, 256
@@ -142,18 +143,17 @@ def wardley(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return n, e.drop("_source", "_target")
 
 
-def record_binding(records: DataFrame, evidence: DataFrame) -> DataFrame:
+def record_binding(records: DataFrame, evidence: DataFrame, size: float = 32.0) -> DataFrame:
     """g, state of each diagram: unavailable if record boxes overlap, evidence is owned twice or a record
     owns nothing; exact if each record's texts in reading order are what it should say; else mismatch.
 
     records: g, id, x1, y1, x2, y2, expected; evidence: g, eid, x1, y1, x2, y2, text.
     """
-    a, b = geom.box("a_"), geom.box("b_")
-    cols = ["id", "x1", "y1", "x2", "y2"]
-    left, right = (records.select("g", *[F.col(c).alias(f"{p}_{c}") for c in cols]) for p in ("a", "b"))
-    clash = left.join(right, "g").filter((F.col("a_id") < F.col("b_id")) & geom.crosses(a, b)).select("g").distinct().withColumn("clash", F.lit(True))
-    r = records.select("g", "id", F.col("x1").alias("r1"), F.col("y1").alias("r2"), F.col("x2").alias("r3"), F.col("y2").alias("r4"), "expected")
-    own = evidence.join(r, "g").filter((F.col("r1") <= F.col("x1")) & (F.col("r2") <= F.col("y1")) & (F.col("r3") >= F.col("x2")) & (F.col("r4") >= F.col("y2")))
+    r = records.select("g", "id", "x1", "y1", "x2", "y2")
+    crossing = (F.col("a_id") < F.col("b_id")) & geom.crosses(geom.box("a_"), geom.box("b_"))
+    clash = spatial.box_pairs(r, r, size, crossing, page="g").select("g").distinct().withColumn("clash", F.lit(True))
+    own = spatial.box_pairs(r, evidence.select("g", "eid", "x1", "y1", "x2", "y2", "text"), size, geom.contains(geom.box("a_"), geom.box("b_")), page="g")
+    own = own.select("g", F.col("a_id").alias("id"), F.col("b_eid").alias("eid"), F.col("b_x1").alias("x1"), F.col("b_y1").alias("y1"), F.col("b_text").alias("text"))
     twice = own.groupBy("g", "eid").agg(F.count("*").alias("n")).filter("n > 1").select("g").distinct().withColumn("twice", F.lit(True))
     said = own.groupBy("g", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y1", "x1", "text"))), lambda s: s["text"]), " ").alias("said"))
     per = records.select("g", "id", "expected").join(said, ["g", "id"], "left")

@@ -43,6 +43,9 @@ def test_paths_roots_cycles(spark):
 def test_too_many_paths_are_unavailable(spark):
     layers = [(f"{i}{a}", f"{i + 1}{b}") for i in range(5) for a in "abcdefgh" for b in "abcdefgh"]
     assert graph.path_counts(edges(spark, *layers)).first().paths is None
+    whole = [(a, b) for a in "abcdefghijklmn" for b in "abcdefghijklmn" if a != b] + [("start", "a"), ("a", "stop")]
+    assert graph.path_counts(edges(spark, *whole)).first().paths is None
+    assert not graph.acyclic(edges(spark, *whole)).first().acyclic
 
 
 def test_preorder(spark):
