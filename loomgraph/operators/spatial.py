@@ -118,9 +118,10 @@ def greedy_clusters(boxes: DataFrame, least: float = 0.45) -> DataFrame:
     return boxes.select("page", "id", "key", "rank", "x1", "y1", "x2", "y2").groupBy("page").applyInPandas(run, schema)
 
 
-def box_components(boxes: DataFrame, gap: float, least_share: float = 0.22) -> DataFrame:
+def box_components(boxes: DataFrame, gap: float, least_share: float = 0.22, most_area: float | None = None) -> DataFrame:
     """page, id, component: boxes that contain each other, or are close on one axis and overlap on
-    the other, chained; the component is named by its smallest id."""
+    the other, chained, unless both together take over ``most_area``; the component is named by its
+    smallest id."""
     schema = "page long, id long, component long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -144,7 +145,10 @@ def box_components(boxes: DataFrame, gap: float, least_share: float = 0.22) -> D
                 common = np.minimum(a[y + 2], o[:, y + 2]) - np.maximum(a[y], o[:, y])
                 short = np.minimum(a[y + 2] - a[y], o[:, y + 2] - o[:, y])
                 near |= (space <= gap) & (common >= least_share * short) & (short > 0)
-            for j in np.flatnonzero(inside | near).tolist():
+            joined = inside | near
+            if most_area is not None:
+                joined &= (np.maximum(a[2], o[:, 2]) - np.minimum(a[0], o[:, 0])) * (np.maximum(a[3], o[:, 3]) - np.minimum(a[1], o[:, 1])) <= most_area
+            for j in np.flatnonzero(joined).tolist():
                 p, q = top(i), top(i + 1 + j)
                 root[max(p, q)] = min(p, q)
         return pd.DataFrame({"page": pdf.page, "id": ids, "component": [ids[top(i)] for i in range(n)]})

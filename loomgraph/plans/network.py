@@ -40,12 +40,12 @@ CARDINALITIES = {"zero_or_one": "|o", "one": "||", "zero_or_more": "}o", "one_or
 KINDS = {
     k.name: k
     for k in (
-        Kind("flowchart", "flowchart LR", roles=("process", "decision", "start", "end", "data")),
+        Kind("flowchart", "flowchart LR"),
         Kind("generic_network", "flowchart LR"),
         Kind("swimlane", "flowchart LR", records=("lanes",)),
-        Kind("bpmn", "flowchart LR", records=("lanes",), roles=("task", "event", "gateway")),
-        Kind("state", "stateDiagram-v2", records=("states",), roles=("state", "start", "end", "choice")),
-        Kind("class", "classDiagram", records=("classes",), tokens=("inheritance", "composition", "aggregation", "association", "dependency"), arrow={"inheritance": "<|--", "composition": "*--", "aggregation": "o--", "dependency": "..>"}),
+        Kind("bpmn", "flowchart LR", records=("lanes",)),
+        Kind("state", "stateDiagram-v2", records=("states",), roles=("state", "choice", "fork", "join")),
+        Kind("class", "classDiagram", records=("classes",), tokens=("association", "dependency", "aggregation", "composition", "link", "inheritance", "realization"), arrow={"inheritance": "<|--", "composition": "*--", "aggregation": "o--", "dependency": "..>", "realization": "..|>", "link": "--"}),
         Kind("er", "erDiagram", records=("entities",), tokens=tuple(CARDINALITIES), grouped=False, default_arrow="--"),
         Kind("requirement", "requirementDiagram", records=("requirements", "elements"), tokens=("contains", "copies", "derives", "satisfies", "verifies", "refines", "traces"), grouped=False),
         Kind("block", "block-beta", records=("blocks",)),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import geom
-from loomgraph.operators import spatial
+from loomgraph.operators import regions, spatial
 from loomgraph.queries._registry import query
 from loomgraph.sources import corpora
 
@@ -143,7 +143,7 @@ def element_clusters(spark, sf_dir):
 @query()
 def box_components(spark, sf_dir):
     """Boxes chained by containment or closeness."""
-    return spatial.box_components(corpora.boxes(spark, sf_dir), 2.0)
+    return spatial.box_components(corpora.boxes(spark, sf_dir), 2.0, most_area=0.72 * 100 * 100)
 
 
 @query(B + """, l AS (SELECT DISTINCT s.page, s.id AS source_id, t.id AS target_id, p.pid % 3 AS head FROM p JOIN b s ON p.page = s.page AND p.x BETWEEN s.x1 AND s.x2 AND p.y BETWEEN s.y1 AND s.y2 JOIN b t ON t.page = p.page AND p.y BETWEEN t.x1 AND t.x2 AND p.x BETWEEN t.y1 AND t.y2 WHERE s.id <> t.id)
@@ -156,3 +156,47 @@ def lines_to_relations(spark, sf_dir):
     at = s.join(t, ["page", "pid"]).filter("s <> t").withColumn("head", F.col("pid") % 3)
     turn = F.col("head") == 1
     return at.select("page", F.when(turn, F.col("t")).otherwise(F.col("s")).alias("source_id"), F.when(turn, F.col("s")).otherwise(F.col("t")).alias("target_id"), (F.col("head") != 0).alias("arrow")).distinct()
+
+
+ASSESS = "CASE WHEN e BETWEEN 0.006 AND 0.24 AND ink <= 0.26 AND NOT (dev > 67 AND ink > 0.13) AND r >= 0.42 AND c >= 0.28 AND greatest(w / h, h / w) <= 10 THEN CAST(round(least(0.92, 0.5 + CASE WHEN e <= 0.12 THEN 0.11 ELSE 0.04 END + CASE WHEN ink <= 0.12 THEN 0.08 ELSE 0.02 END + least(0.10, 0.025 * (n - 1)) + CASE WHEN greatest(w / h, h / w) <= 4 THEN 0.08 ELSE 0.02 END), 4) AS DOUBLE) END"
+
+
+@query(B + f""", q AS (SELECT id, x2 - x1 AS w, y2 - y1 AS h, CAST(id % 30 AS DOUBLE) / 100 AS e, CAST(id % 29 AS DOUBLE) / 100 AS ink, CAST(id % 80 AS DOUBLE) AS dev, CAST(id % 7 + 3 AS DOUBLE) / 10 AS r, CAST(id % 5 + 2 AS DOUBLE) / 10 AS c, id % 6 + 1 AS n FROM b)
+SELECT id, w * h >= 16 AND w >= 4 AND h >= 4 AND NOT (h < 6 AND w > 8 * h) AS counts, {ASSESS} AS sure FROM q""")
+def region_assessment(spark, sf_dir):
+    """Which components count on a page, and how sure a region is a diagram."""
+    i = F.col("id")
+    share = lambda m, add, by: ((i % m + add).cast("double") / by)
+    b = corpora.boxes(spark, sf_dir)
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    sure = regions.assess(w, h, share(30, 0, 100), share(29, 0, 100), (i % 80).cast("double"), share(7, 3, 10), share(5, 2, 10), i % 6 + 1)
+    return b.select("id", regions.of_a_page(geom.box(), F.lit(100.0), F.lit(100.0)).alias("counts"), sure.alias("sure"))
+
+
+@query(B + f" SELECT a.page, a.id FROM b a WHERE a.id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM b WHERE b.page = a.page AND b.id % 10 = 1 AND {INTER} / ((a.x2 - a.x1) * (a.y2 - a.y1)) > 0.01)")
+def unoccupied_regions(spark, sf_dir):
+    """Regions that no known block takes up."""
+    b = corpora.boxes(spark, sf_dir)
+    return regions.unoccupied(b.filter("id % 2 = 0"), b.filter("id % 10 = 1")).select("page", "id")
+
+
+@query(B + f", k AS (SELECT a.page, a.id, b.id AS contour, {IOU} AS v FROM b a JOIN b ON a.page = b.page WHERE a.id % 2 = 0 AND b.id % 2 = 1 AND {IOU} >= 0.2) SELECT page, id, arg_max(contour, (v, -contour)) AS contour FROM k GROUP BY 1, 2")
+def contour_authority(spark, sf_dir):
+    """The contour that covers a node best."""
+    b = corpora.boxes(spark, sf_dir)
+    return regions.covered(b.filter("id % 2 = 0"), b.filter("id % 2 = 1"), 0.2)
+
+
+@query(B + """, m AS (SELECT page, id AS mid, x1 AS x, y1 AS y FROM b WHERE id % 3 = 0), d AS (SELECT pid, mid, sqrt(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)) AS d FROM p JOIN m USING (page)),
+r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, mid) AS rn, lead(d) OVER (PARTITION BY pid ORDER BY d, mid) AS nxt FROM d WHERE d <= 9)
+SELECT p.pid, CASE WHEN nxt IS NULL OR nxt - d > 1e-6 THEN mid END AS mid FROM p LEFT JOIN (SELECT * FROM r WHERE rn = 1) USING (pid)""")
+def nearest_arrowhead(spark, sf_dir):
+    """The arrow head at a line's end; null if it is too far or two are as near."""
+    b = corpora.boxes(spark, sf_dir).filter("id % 3 = 0").select("page", F.col("id").alias("mid"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return regions.nearest_point(corpora.points(spark, sf_dir), b, 9.0).select("pid", "mid")
+
+
+@query()
+def page_regions(spark, sf_dir):
+    """Regions that stay after overlaps are resolved, named in reading order."""
+    return regions.choose(corpora.boxes(spark, sf_dir)).select("page", "id", "region_id")

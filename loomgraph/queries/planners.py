@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from loomgraph.plans import charts, network, ordered, trees
+from loomgraph.plans import charts, contracts, network, ordered, trees
 from loomgraph.queries._registry import query
 from loomgraph.queries.agreement import FLOWS
 from loomgraph.sources import corpora
@@ -112,20 +112,20 @@ def mindmap_code(spark, sf_dir):
     return trees.mindmap(_tree(spark, sf_dir).filter("id <> 'lost'")).select("code")
 
 
-NET = """WITH n AS (SELECT p_partkey // 20 AS g, CAST(p_partkey % 20 AS INTEGER) AS pos, p_brand || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '-x' || p_size END AS id, p_name AS label, CASE WHEN p_size % 10 = 0 THEN 'oval' ELSE 'process' END AS role FROM part),
+NET = """WITH n AS (SELECT p_partkey // 20 AS g, CAST(p_partkey % 20 AS INTEGER) AS pos, p_brand || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '-x' || p_size END AS id, p_name AS label, CASE WHEN p_size % 10 = 0 THEN 'oval' ELSE 'state' END AS role FROM part),
 b AS (SELECT *, trim(regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g'), '_') AS base FROM n), q AS (SELECT *, row_number() OVER (PARTITION BY g, base ORDER BY pos, id) AS turn, count(*) OVER (PARTITION BY g, id) AS same FROM b)"""
 
 
 def _net(spark, sf_dir):
     p = corpora.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size")
     i = F.col("p_partkey")
-    return p.select(F.floor(i / 20).cast("long").alias("g"), F.lit("nodes").alias("record"), (i % 20).cast("int").alias("pos"), F.concat(F.col("p_brand"), F.when(i % 2 == 0, "").otherwise(F.concat(F.lit("-x"), F.col("p_size").cast("string")))).alias("id"), F.col("p_name").alias("label"), F.when(F.col("p_size") % 10 == 0, "oval").otherwise("process").alias("role"))
+    return p.select(F.floor(i / 20).cast("long").alias("g"), F.lit("nodes").alias("record"), (i % 20).cast("int").alias("pos"), F.concat(F.col("p_brand"), F.when(i % 2 == 0, "").otherwise(F.concat(F.lit("-x"), F.col("p_size").cast("string")))).alias("id"), F.col("p_name").alias("label"), F.when(F.col("p_size") % 10 == 0, "oval").otherwise("state").alias("role"))
 
 
 @query(NET + " SELECT g, pos, id, CASE WHEN turn = 1 THEN base ELSE base || '_' || turn END AS emitted, CASE WHEN same > 1 THEN 'duplicate id' WHEN role = 'oval' THEN 'unknown role' END AS error FROM q")
-def flowchart_nodes(spark, sf_dir):
-    """Nodes of flowcharts: emitted ids, duplicates, unknown roles."""
-    return network.nodes(network.KINDS["flowchart"], _net(spark, sf_dir)).select("g", "pos", "id", "emitted", "error")
+def state_nodes(spark, sf_dir):
+    """States: emitted ids, duplicates, unknown kinds."""
+    return network.nodes(network.KINDS["state"], _net(spark, sf_dir)).select("g", "pos", "id", "emitted", "error")
 
 
 def _net_edges(spark, sf_dir):
@@ -225,3 +225,14 @@ def accessible_text(spark, sf_dir):
     return network.accessible(p, none)
 
 
+
+
+@query("""WITH j AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'flowchart' WHEN 1 THEN 'sequence' WHEN 2 THEN 'mindmap' WHEN 3 THEN 'gitgraph' ELSE 'poem' END AS kind FROM part)
+SELECT id, CASE kind WHEN 'poem' THEN 'no contract' WHEN 'flowchart' THEN CASE WHEN id % 3 = 0 THEN 'nodes: not a list' END WHEN 'sequence' THEN 'messages: missing' WHEN 'mindmap' THEN CASE WHEN id % 3 = 1 THEN 'not an object' END WHEN 'gitgraph' THEN 'initial_branch: not a string' END AS error FROM j""")
+def type_contracts(spark, sf_dir):
+    """Whether a diagram's JSON has the root fields of its type, each of its kind."""
+    i = F.col("p_partkey")
+    kind = F.when(i % 5 == 0, "flowchart").when(i % 5 == 1, "sequence").when(i % 5 == 2, "mindmap").when(i % 5 == 3, "gitgraph").otherwise("poem")
+    body = F.when(i % 5 == 0, F.when(i % 3 == 0, '{"nodes": {}}').otherwise('{"nodes": []}')).when(i % 5 == 1, '{"participants": ["a"]}').when(i % 5 == 2, F.when(i % 3 == 1, "[1").otherwise('{"root": {"label": "x"}}')).when(i % 5 == 3, '{"initial_branch": 3, "operations": []}').otherwise("{}")
+    p = corpora.table(spark, sf_dir, "part").select(i.alias("id"), kind.alias("diagram_type"), body.alias("ir"))
+    return contracts.check(p).select("id", "error")

@@ -175,6 +175,7 @@ def test_greedy_choices(spark):
     at = dict(values(c, "id", "cluster"))
     assert at[1] == at[2] != at[3]
     assert dict(values(spatial.box_components(b, 2.0), "id", "component")) == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert dict(values(spatial.box_components(b, 2.0, most_area=50.0), "id", "component"))[2] == 2
 
 
 def test_pairs_across_cells_come_once(spark):
@@ -224,7 +225,7 @@ def test_wardley_and_radar(spark):
 
 def test_network_suffixes_skip_taken_ids(spark):
     rows = [(1, "nodes", 1, "a b", None, None), (1, "nodes", 2, "a-b", None, None), (1, "nodes", 3, "a_b_2", None, "hexagon")]
-    k = network.KINDS["flowchart"]
+    k = network.KINDS["state"]
     n = network.nodes(k, spark.createDataFrame(rows, "g long, record string, pos int, id string, label string, role string"))
     got = {r.id: (r.emitted, r.error) for r in n.collect()}
     assert got == {"a b": ("a_b", None), "a-b": ("a_b_3", None), "a_b_2": ("a_b_2", "unknown role")}
@@ -232,7 +233,7 @@ def test_network_suffixes_skip_taken_ids(spark):
     assert {r.target: r.error for r in e.collect()} == {"a-b": None, "?": "unknown target"}
     assert network.lines(k, n, e).count() == 0
     code = network.lines(k, n.withColumn("error", F.lit(None).cast("string")), e.filter("error is null")).first().code
-    assert code == 'flowchart LR\n  a_b["a b"]\n  a_b_3["a-b"]\n  a_b_2["a_b_2"]\n  a_b -->|"x"| a_b_3'
+    assert code == 'stateDiagram-v2\n  a_b["a b"]\n  a_b_3["a-b"]\n  a_b_2["a_b_2"]\n  a_b -->|"x"| a_b_3'
 
 
 @pytest.mark.parametrize("name", sorted(network.KINDS))
