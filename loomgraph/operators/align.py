@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import settled
+
 
 def unique_pairs(source: DataFrame, generated: DataFrame, key: str, by: list[str] | None = None, id: str = "id") -> DataFrame:
     """by, source_id, generated_id of rows whose key is unique on both sides; null keys match nothing."""
@@ -32,7 +34,8 @@ def cascade(source: DataFrame, generated: DataFrame, stages: list[tuple[str, str
     out = None
     left, right = source, generated
     for name, key in stages:
-        got = unique_pairs(left, right, key, by)
+        # read by what is left over on both sides and by the result; found once
+        got = settled(unique_pairs(left, right, key, by), "pairs")
         left, right = left_over(left, got, "source_id", by), left_over(right, got, "generated_id", by)
         got = got.withColumn("stage", F.lit(name))
         out = got if out is None else out.unionByName(got)

@@ -46,15 +46,26 @@ def f1_of(overlap: Column, candidate: Column, reference: Column) -> Column:
     return F.when(reference > 0, 2.0 * overlap / both)
 
 
-def f1(candidate: DataFrame, reference: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
-    """by, overlap, candidate, reference, precision, recall, f1 of two bags of ``by`` + ``keys``."""
-    by = by or []
-    pairs = side_by_side(candidate, reference, [*by, *keys])
+def _scores(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Sums over keys first, ratios last; pairs: by, keys, n_a (candidate), n_b (reference)."""
     sums = pairs.groupBy(*by).agg(F.coalesce(F.sum(F.least("n_a", "n_b")), F.lit(0)).alias("overlap"), F.coalesce(F.sum("n_a"), F.lit(0)).alias("candidate"), F.coalesce(F.sum("n_b"), F.lit(0)).alias("reference"))
     o, c, r = F.col("overlap"), F.col("candidate"), F.col("reference")
     return sums.select(*by, "overlap", "candidate", "reference", ratio(o, c).alias("precision"), ratio(o, r).alias("recall"), f1_of(o, c, r).alias("f1"))
 
 
+def f1(candidate: DataFrame, reference: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """by, overlap, candidate, reference, precision, recall, f1 of two bags of ``by`` + ``keys``."""
+    by = by or []
+    return _scores(side_by_side(candidate, reference, [*by, *keys]), by)
+
+
+def f1_of_sides(rows: DataFrame, keys: list[str], by: list[str] | None = None, side: str = "side", candidate="cand", reference="ref", n: str = "n") -> DataFrame:
+    """The same of rows that carry both sides, so that what they come from is computed once."""
+    by = by or []
+    one = lambda v: F.coalesce(F.sum(F.when(F.col(side) == F.lit(v), F.col(n))), F.lit(0))
+    return _scores(rows.groupBy(*by, *keys).agg(one(candidate).alias("n_a"), one(reference).alias("n_b")), by)
+
+
 def recall(found: DataFrame, wanted: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
     """by, overlap, wanted, recall: null where nothing is wanted."""
     out = f1(found, wanted, keys, by)

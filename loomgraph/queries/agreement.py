@@ -27,15 +27,10 @@ def _rounded(df):
     return df.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
-def _two(arcs):
-    return arcs.filter("side = 'cand'"), arcs.filter("side = 'ref'")
-
-
 @query(_f1_sql("a, b", ", e AS (SELECT side, least(src, dst) AS a, greatest(src, dst) AS b, n FROM arcs)"))
 def edge_multiset_f1(spark, sf_dir):
     """Unordered edges of two graphs as multisets: overlap, precision, recall, F1."""
-    c, r = _two(graph.undirected(corpora.trade_arcs(spark, sf_dir), "side"))
-    return _rounded(bags.f1(c, r, ["a", "b"]))
+    return _rounded(bags.f1_of_sides(graph.undirected(corpora.trade_arcs(spark, sf_dir), "side"), ["a", "b"]))
 
 
 @query(_f1_sql("src, dst, kind", """, e AS (
@@ -48,16 +43,14 @@ def directed_edge_f1(spark, sf_dir):
     some = corpora.trade_arcs(spark, sf_dir)
     kind = (F.col("src") + F.col("dst")) % 5
     rel = some.select("side", "n", F.col("src").alias("source_id"), F.col("dst").alias("target_id"), (kind == 1).alias("arrow_at_start"), (kind != 0).alias("arrow_at_end"))
-    c, r = _two(bags.bag(graph.arcs(rel, "side", "n"), "side", "src", "dst", "kind", n="n"))
-    return _rounded(bags.f1(c, r, ["src", "dst", "kind"]))
+    return _rounded(bags.f1_of_sides(graph.arcs(rel, "side", "n"), ["src", "dst", "kind"]))
 
 
 @query(_f1_sql("a, b, head", ", e AS (SELECT side, least(src, dst) AS a, greatest(src, dst) AS b, dst AS head, n FROM arcs)"))
 def arrow_agreement(spark, sf_dir):
     """Edges together with the end that holds the arrow."""
     some = corpora.trade_arcs(spark, sf_dir).select("side", "n", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("dst").alias("head"))
-    c, r = _two(bags.bag(some, "side", "a", "b", "head", n="n"))
-    return _rounded(bags.f1(c, r, ["a", "b", "head"]))
+    return _rounded(bags.f1_of_sides(some, ["a", "b", "head"]))
 
 
 @query("SELECT c_nationkey AS g, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS kinds, CAST(count(*) AS BIGINT) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
@@ -126,8 +119,7 @@ def path_consistency(spark, sf_dir):
     legs = F.explode(F.array(F.struct(F.col("r_name").alias("src"), F.col("c_mktsegment").alias("dst")), F.struct(F.col("c_mktsegment").alias("src"), F.col("o_orderpriority").alias("dst"))))
     kept = some.select("side", legs.alias("leg"), "cents").groupBy("side", "leg.src", "leg.dst").agg(F.sum("cents").alias("cents")).filter("cents % 3 <> 0")
     paths = graph.simple_paths(kept.withColumnRenamed("side", "g")).select("g", F.array_join("path", ">").alias("p"))
-    both = bags.bag(paths, "g", "p")
-    return _rounded(bags.f1(both.filter("g"), both.filter("not g"), ["p"]))
+    return _rounded(bags.f1_of_sides(bags.bag(paths.filter("p is not null"), "g", "p"), ["p"], side="g", candidate=True, reference=False))
 
 
 @query(FLOWS + """, graphs AS (SELECT 'flows' AS g, src, dst FROM flows UNION ALL SELECT 'looped', src, dst FROM flows UNION ALL SELECT 'looped', min(dst), min(src) FROM flows)
