@@ -171,16 +171,27 @@ def span(fp: np.ndarray, fp2: np.ndarray, near) -> list[tuple[np.ndarray, np.nda
     return out
 
 
-def star(fp: np.ndarray, fp2: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Positions (root, other) that join what the links (a, b) join: each fingerprint to the least one
+def node_name(fp: np.ndarray, fp2: np.ndarray) -> np.ndarray:
+    """``xxhash64(fp, fp2)`` as Spark computes it: XXH64 of one long seeded by that of the other."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = np.full(len(fp), 42, np.uint64)
+    with np.errstate(over="ignore"):
+        for x in (fp, fp2):
+            h = (h + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1)
+            h = turn(h, 27) * p1 + p4
+            h = (h ^ (h >> np.uint64(33))) * p2
+            h = (h ^ (h >> np.uint64(29))) * p3
+            h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def star(name: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Names (root, other) that join what the links between positions a and b join: each to the least name
     of its component.  The least is often the same under many signatures, and so are such pairs."""
-    order = np.lexsort((fp2, fp))
-    new = np.concatenate([[True], (fp[order][1:] != fp[order][:-1]) | (fp2[order][1:] != fp2[order][:-1])])
-    node = np.empty(len(fp), np.int64)
-    node[order] = np.cumsum(new) - 1
-    at = order[new]  # a position of each node
+    names, node = np.unique(name, return_inverse=True)
     a, b = node[a], node[b]
-    root = np.arange(len(at))
+    root = np.arange(len(names))
     while True:
         low = root.copy()
         np.minimum.at(low, a, root[b])
@@ -190,16 +201,15 @@ def star(fp: np.ndarray, fp2: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple
             break
         root = low
     other = np.flatnonzero(root != np.arange(len(root)))
-    return (at[root[other]], at[other]) if len(other) else None
+    return (names[root[other]], names[other]) if len(other) else None
 
 
 def links(rows: DataFrame, plan: Plan, small: int = 16) -> DataFrame:
-    """a, b (and a2, b2 if ``wide``), distinct: pairs that join what links among the rows of a key join.
+    """a, b, distinct: nodes (``node_of``) that are joined wherever links among the rows of a key join them.
 
-    A pair may itself differ in more bits than a link; a chain of links leads from one to the other.
+    Such two may differ in more bits than a link; a chain of links leads from one to the other.
     """
     most, wide = plan.most, plan.wide
-    names = ["a", "a2", "b", "b2"] if wide else ["a", "b"]
 
     def near(a, a2, b, b2):
         d = np.bitwise_count(a ^ b)
@@ -246,13 +256,17 @@ def links(rows: DataFrame, plan: Plan, small: int = 16) -> DataFrame:
             for g in np.flatnonzero(~few).tolist():
                 i, j = begin[g], begin[g] + size[g]
                 found += [(a + i, b + i) for a, b in span(fp[i:j], fp2[i:j], near)]
-            if found and (stars := star(fp, fp2, *[np.concatenate(x) for x in zip(*found)])):
-                columns = [half[x].view(np.int64) for x in stars for half in ((fp, fp2) if wide else (fp,))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+            if not found:
+                continue
+            ends = [np.concatenate(x) for x in zip(*found)]
+            some, at = np.unique(np.concatenate(ends), return_inverse=True)
+            name = node_name(fp[some], fp2[some]) if wide else fp[some].view(np.int64)
+            if joined := star(name, at[: len(ends[0])], at[len(ends[0]) :]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined], names=["a", "b"])
 
     n = partitions(rows.sparkSession)
     dealt = rows.repartition(n, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names)).distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most: int = 64) -> DataFrame:
@@ -283,13 +297,17 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def node_of(plan: Plan):
+    """A fingerprint's node: itself, or the hash of both halves."""
+    return F.xxhash64("fp", "fp2") if plan.wide else F.col("fp")
+
+
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """doc_id, fp, fp2, component_id (the smallest doc_id that links reach) of every document."""
     prints = written(fingerprints(docs, plan), "fingerprints")
-    points = written(prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp", "fp2") if plan.wide else F.col("fp")), "points")
+    points = written(prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("least")).withColumn("node", node_of(plan)), "points")
     found = written(links(signature_rows(points, plan), plan), "links")
-    name = lambda x: F.xxhash64(x, f"{x}2") if plan.wide else F.col(x)
-    roots = components(found.select(name("a").alias("a"), name("b").alias("b")))
+    roots = components(found)
     of = points.join(roots, "node", "left").select("fp", "fp2", "least", F.coalesce("root", "node").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of.join(least, "root").select("fp", "fp2", "component_id")

@@ -147,8 +147,9 @@ def test_wide_links_are_those_of_shared_signatures(spark, block):
     plan = simhash.Plan(bits=15, wide=True, limit=24, block=block)
     halves = lambda p: (simhash._long(p & (1 << 64) - 1), simhash._long(p >> 64))
     df = spark.createDataFrame([halves(p) for p in points], "fp long, fp2 long")
-    edges = [((r.a % 2**64) | (r.a2 % 2**64) << 64, (r.b % 2**64) | (r.b2 % 2**64) << 64) for r in simhash.links(simhash.signature_rows(df, plan), plan).collect()]
-    assert all(a != b for a, b in edges)
+    back = {r.node: (r.fp % 2**64) | (r.fp2 % 2**64) << 64 for r in df.withColumn("node", simhash.node_of(plan)).collect()}
+    edges = [(back[r.a], back[r.b]) for r in simhash.links(simhash.signature_rows(df, plan), plan).collect()]
+    assert edges and all(a != b for a, b in edges)
     sets = {p: {(bit, p & mask) for bit, mask, _ in simhash.signatures(plan)} for p in points}
 
     def classes(pairs):
