@@ -269,6 +269,25 @@ def links(rows: DataFrame, plan: Plan, small: int = 16) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+#: Links that one task joins beforehand.
+TASK_LINKS = 500_000
+
+
+def forest(edges: DataFrame, links: int) -> DataFrame:
+    """a, b (b the lesser): what is left of ``links`` edges when each task, with a bounded share of them,
+    keeps one link from every node to the least that its share reaches."""
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if got:
+            name = np.concatenate([b.column(c).to_numpy() for c in (0, 1) for b in got])
+            n = len(name) // 2
+            if joined := star(name, np.arange(n), np.arange(n, 2 * n)):
+                yield pa.RecordBatch.from_arrays([pa.array(joined[1]), pa.array(joined[0])], names=["a", "b"])
+
+    return edges.repartition(max(8, -(-links // TASK_LINKS))).mapInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame, most: int = 64) -> DataFrame:
     """node, root: the least node that ``edges`` (a, b: long) reach from each node they have.
 
@@ -277,6 +296,7 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
     the logarithm of the components' width.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    edges = written(forest(edges, edges.count()), "edges")
     mark = None
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
