@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm._shared import partitions, ready, written
 
 
+#: Links that one task holds to join them.
+TASK_LINKS = 500_000
+
+
 @dataclass(frozen=True)
 class Plan:
     """How fingerprints are made and linked.
@@ -234,7 +238,14 @@ def links(rows: DataFrame, plan: Plan, small: int = 16) -> DataFrame:
         if held:
             yield pa.Table.from_batches(held)
 
+    def tied(held):
+        """What all pairs of a task join, each node once."""
+        name = np.concatenate([x for side in (0, 1) for x in (h[side] for h in held)])
+        n = len(name) // 2
+        return star(name, np.arange(n), np.arange(n, 2 * n))
+
     def run(batches):
+        held, count = [], 0
         for got in groups(batches):
             key = got["key"].to_numpy()
             fp = got["fp"].to_numpy().view(np.uint64)
@@ -262,17 +273,19 @@ def links(rows: DataFrame, plan: Plan, small: int = 16) -> DataFrame:
             some, at = np.unique(np.concatenate(ends), return_inverse=True)
             name = node_name(fp[some], fp2[some]) if wide else fp[some].view(np.int64)
             if joined := star(name, at[: len(ends[0])], at[len(ends[0]) :]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined], names=["a", "b"])
+                held.append(joined)
+                count += len(joined[0])
+            if count > TASK_LINKS:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in tied(held)], names=["a", "b"])
+                held, count = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in tied(held)], names=["a", "b"])
 
     n = partitions(rows.sparkSession)
     dealt = rows.repartition(n, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-#: Links that one task joins beforehand.
-TASK_LINKS = 500_000
-
-
 def forest(edges: DataFrame, links: int) -> DataFrame:
     """a, b (b the lesser): what is left of ``links`` edges when each task, with a bounded share of them,
     keeps one link from every node to the least that its share reaches."""
