@@ -63,8 +63,8 @@ class Plan:
 
 
 #: Pairs of five-word shingle sets with a similarity of 0.8 differ in some 19 of 128 bits, such
-#: with 0.6 in some 29 and unrelated ones in some 64.
-SIMILAR = Plan(words=5, bits=15, wide=True, limit=24)
+#: with 0.6 in some 29 and unrelated ones in some 64.  All pairs up to the link limit meet.
+SIMILAR = Plan(words=5, bits=24, wide=True, limit=24)
 
 
 def shingle_hashes(text: str, words: int, seed: int) -> np.ndarray:
@@ -160,18 +160,25 @@ def signature_rows(points: DataFrame, plan: Plan) -> DataFrame:
     return dealt.select(F.when(F.col("pair") < 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"), *bits)
 
 
-def span(fp: np.ndarray, fp2: np.ndarray, near) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that span the components of one signature's rows: (from, to) positions."""
+def span(fp: np.ndarray, fp2: np.ndarray, near, tile: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that span the components of one signature's rows: (from, to) positions.
+
+    A tile of rows is held against all that are left at once; links are followed from those that have any.
+    """
     left, out = np.arange(len(fp)), []
     while len(left):
-        ahead, left = [left[0]], left[1:]
-        while ahead and len(left):
-            at = ahead.pop()
-            hit = near(fp[at], fp2[at], fp[left], fp2[left])
-            if hit.any():
-                new, left = left[hit], left[~hit]
-                out.append((np.full(len(new), at), new))
-                ahead.extend(new.tolist())
+        head = left[:tile]
+        linked = head[near(fp[head, None], fp2[head, None], fp[left], fp2[left]).sum(1) > 1]
+        left = np.concatenate([linked, left[tile:]])
+        while len(linked) and len(left) and left[0] <= linked[-1]:
+            ahead, left = [left[0]], left[1:]
+            while ahead and len(left):
+                at = ahead.pop()
+                hit = near(fp[at], fp2[at], fp[left], fp2[left])
+                if hit.any():
+                    new, left = left[hit], left[~hit]
+                    out.append((np.full(len(new), at), new))
+                    ahead.extend(new.tolist())
     return out
 
 

@@ -132,6 +132,18 @@ def test_signatures_meet_within_the_bound():
             assert sets(a) & sets(b)
 
 
+def test_all_similar_links_meet():
+    """Every pair within the link limit shares a signature, also with its bits spread evenly over the segments."""
+    plan, draw = simhash.SIMILAR, random.Random(4)
+    assert plan.bits >= plan.most
+    sets = lambda x: {(bit, x & mask) for bit, mask, _ in simhash.signatures(plan)}
+    for _ in range(300):
+        a = b = draw.getrandbits(128)
+        for i in range(plan.most):
+            b ^= 1 << (16 * (i % 8) + draw.choice(range(i // 8, 16, 3)))
+        assert (a ^ b).bit_count() == plan.most and sets(a) & sets(b)
+
+
 @pytest.mark.parametrize("block", [30, 20_000])
 def test_wide_links_are_those_of_shared_signatures(spark, block):
     draw = random.Random(3)
