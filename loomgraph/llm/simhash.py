@@ -39,6 +39,7 @@ class Plan:
     ``wide``: a second 64 bits of the same shingles are kept too, and bits are counted over both.
     ``bits``: pairs that differ in no more are sure to meet; it sets the number of segments.
     ``limit``: pairs that meet are linked up to so many differing bits (None: ``bits``).
+    ``similarity``: ``keep_first`` takes only links whose shingle sets have this Jaccard similarity (None: all).
     """
 
     words: int = 4
@@ -47,6 +48,7 @@ class Plan:
     wide: bool = False
     limit: int | None = None
     block: int = 20_000
+    similarity: float | None = None
 
     @property
     def segments(self) -> list[tuple[int, int]]:
@@ -64,7 +66,7 @@ class Plan:
 
 #: Pairs of five-word shingle sets with a similarity of 0.8 differ in some 19 of 128 bits, such
 #: with 0.6 in some 29 and unrelated ones in some 64.  All pairs up to the link limit meet.
-SIMILAR = Plan(words=5, bits=24, wide=True, limit=24)
+SIMILAR = Plan(words=5, bits=24, wide=True, limit=24, similarity=0.8)
 
 
 def shingle_hashes(text: str, words: int, seed: int) -> np.ndarray:
@@ -354,15 +356,108 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     return prints.join(named, ["fp", "fp2"]).select("doc_id", "fp", "fp2", "component_id")
 
 
+def shingle_sets(docs: DataFrame, plan: Plan) -> DataFrame:
+    """component_id, doc_id, node (a hash of the set), shingles (sorted distinct hashes as bytes); docs: these ids, text."""
+    ready(docs.sparkSession)
+    words, seed = plan.words, plan.seed
+
+    def run(batches):
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py() or "", words, seed)).tobytes() for x in batch.column(2)]
+            node = pa.array(np.array([xxh64_intdigest(x) for x in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(sets, pa.binary())], names=["component_id", "doc_id", "node", "shingles"])
+
+    return docs.select("component_id", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "component_id long, doc_id long, node long, shingles binary")
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (from, to) that span the components of sets whose Jaccard similarity is at least so much."""
+    size = np.array([len(x) for x in sets])
+    left, out, ahead = np.arange(len(sets)), [], []
+    while len(left):
+        if not ahead:
+            ahead, left = [left[0]], left[1:]
+        at = ahead.pop()
+        # the smaller of two similar sets has at least that share of the larger; empty sets are one node
+        may = left[(size[left] >= similarity * size[at] * (1 - 1e-9)) & (size[left] * similarity * (1 - 1e-9) <= size[at]) & (size[left] > 0)]
+        if not len(may) or not size[at]:
+            continue
+        every = np.concatenate([sets[i] for i in may])
+        place = np.minimum(np.searchsorted(sets[at], every), size[at] - 1)
+        ends = np.cumsum(size[may])
+        both = np.add.reduceat((sets[at][place] == every).astype(np.int64), ends - size[may])
+        new = may[both / (size[at] + size[may] - both) >= similarity]
+        out += [(at, i) for i in new.tolist()]
+        ahead += new.tolist()
+        left = np.setdiff1d(left, new, assume_unique=True)
+    return out
+
+
+def verified(sets: DataFrame, plan: Plan, block: int = 256) -> DataFrame:
+    """a, b: nodes of ``shingle_sets`` that are joined wherever links between similar sets of a component join them.
+
+    A component of more than a block of nodes is dealt out by pairs of blocks.
+    """
+    similarity = plan.similarity
+    first = sets.groupBy("component_id", "node").agg(F.min("doc_id").alias("doc_id"))
+    count = first.groupBy("component_id").count().filter("count > 1")
+    blocks = count.select("component_id", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    one = sets.join(first, ["component_id", "node", "doc_id"], "left_semi").join(blocks, "component_id")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("mine")) * F.col("blocks") + F.greatest(o, F.col("mine")))
+    dealt = one.withColumn("mine", mine).select(F.explode(pairs).alias("pair"), "component_id", "node", "shingles").select(F.xxhash64("component_id", "pair").alias("key"), "node", "shingles")
+
+    def joined(found):
+        """Of a group's sets by node."""
+        node = np.array(list(found), np.int64)
+        ends = alike([np.frombuffer(x, np.uint64) for x in found.values()], similarity)
+        if ends and (names := star(node, *map(np.array, zip(*ends)))):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in names], names=["a", "b"])
+
+    def run(batches):
+        key, found = None, {}
+        for batch in batches:
+            for k, node, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    yield from joined(found)
+                    key, found = k, {}
+                found[node] = shingles
+        yield from joined(found)
+
+    n = partitions(sets.sparkSession)
+    return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_heads(docs: DataFrame, found: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
+    """doc_id of all documents that share a component of ``found`` with others, and of those that are the first of
+    their verified group."""
+    found = found.filter("doc_id is not null").select("doc_id", "component_id")
+    many = found.groupBy("component_id").count().filter("count > 1").select("component_id")
+    members = written(found.join(many, "component_id", "left_semi").distinct(), "members")
+    sets = written(shingle_sets(docs.select("doc_id", "text").join(members, "doc_id"), plan), "shingle-sets")
+    roots = components(written(verified(sets, plan), "verified"))
+    of = sets.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    heads = of.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    return members.select("doc_id").distinct(), heads
+
+
 def keep_first(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     """``docs`` with one document of each group: that with the smallest doc_id.
 
+    With ``similarity`` components of the bits only say which documents are held against each other; groups
+    are components of the links that their whole shingle sets prove.
     Rows with a null doc_id are all kept; of rows that repeat a doc_id one is.
     """
-    groups = near_duplicates(docs, plan).filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null")
+    found = near_duplicates(docs, plan)
+    if plan.similarity is None:
+        kept = named.join(found.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    else:
+        members, heads = similar_heads(named, written(found, "near"), plan)
+        kept = named.join(written(members.join(heads, "doc_id", "left_anti"), "dropped"), "doc_id", "left_anti")
     twice = named.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = named.join(groups, "doc_id", "left_semi")
     if not twice.isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from itertools import combinations
 
@@ -183,6 +184,37 @@ def test_keep_first(spark, odd, empty):
     assert simhash.keep_first(empty, plan).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_first_at_the_similarity(spark):
+    """Groups are proven by whole shingle sets, at 0.8 on both sides; bits alone link them all, and blocks do not matter."""
+    text = lambda n, name: " ".join([*(f"w{i}" for i in range(n)), *(f"{name}{i}" for i in range(200 - n))])
+    # sets of 196 shingles of which n - 4 are shared: 182 of 200 words 0.832, 178 0.798, 176 0.782
+    rows = [(1, text(200, "")), (2, text(182, "a")), (3, text(178, "b")), (4, text(176, "c")), (5, text(200, "")), (6, " ".join(f"z{i}" for i in range(50)))]
+    # 0.8 itself: 8 of 10 shingles
+    rows += [(7, " ".join(f"y{i}" for i in range(14))), (8, " ".join(f"y{i}" for i in range(12)))]
+    # the same majority of bits, but few shingles in common
+    again = "the very same line of words " * 300
+    rows += [(9, again + " ".join(f"p{i}" for i in range(100))), (10, again + " ".join(f"q{i}" for i in range(100)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = simhash.Plan(words=5, bits=24, wide=True, limit=128, similarity=simhash.SIMILAR.similarity)
+    assert sorted(r.doc_id for r in simhash.keep_first(docs, plan).collect()) == [1, 3, 4, 6, 7, 9, 10]
+    assert sorted(r.doc_id for r in simhash.keep_first(docs, simhash.SIMILAR).collect() if r.doc_id not in (7, 8)) == [1, 3, 4, 6, 9, 10]
+    sets = simhash.shingle_sets(docs.selectExpr("1L as component_id", "doc_id", "text"), plan)
+    links = [{frozenset(r) for r in simhash.verified(sets, plan, block).collect()} for block in (2, 256)]
+    assert links[0] == links[1] and len(links[0]) == 2
+
+
+def test_dropped_documents_have_a_similar_one(spark, documents):
+    sets = {}
+    for r in documents.collect():
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) if w]
+        sets[r.doc_id] = frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+    kept = {r.doc_id for r in simhash.keep_first(documents).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    assert len(kept) < len(sets)
+    assert all(any(like(s, t) for e, t in sets.items() if e != d) for d, s in sets.items() if d not in kept)
+    assert not [d for d in kept if any(d != e and like(sets[d], sets[e]) for e in kept)]
+
+
 @pytest.mark.parametrize("which", ["documents", "odd"])
 def test_audio_holds_the_bytes(which, request):
     docs = request.getfixturevalue(which)
