@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions import policy
+from loomgraph.functions import digest, policy
 from loomgraph.operators import gates
 from loomgraph.plans import release
 from loomgraph.queries._registry import query
@@ -135,7 +135,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY source_id, method ORDER BY id) A
 SELECT source_id, id, CAST(place AS INTEGER) AS place FROM o WHERE place <= 3""")
 def candidate_round_robin(spark, sf_dir):
     """Three distinct candidates of each source, its methods taking turns."""
-    k = corpora.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 12).cast("long").alias("source_id"), (F.col("doc_id") % 3).alias("method"), F.left("text", F.lit(1)).alias("code"))
+    k = corpora.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 12).cast("long").alias("source_id"), (F.col("doc_id") % 3).alias("method"), digest.sha256(F.col("text")).alias("code"))
     u = k.groupBy("source_id", "code").agg(F.min(F.struct("method", "id")).alias("m")).select("source_id", "m.*")
     r = u.withColumn("turn", F.row_number().over(Window.partitionBy("source_id", "method").orderBy("id")))
     o = r.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy("turn", "method")))

@@ -21,3 +21,17 @@ def test_nfkc_fold_folds_whole_texts(spark):
     want = {r.doc_id: r.text and unicodedata.normalize("NFKC", r.text).casefold() for r in rows(spark, "documents")}
     assert max(len(t or "") for t in want.values()) > 200
     assert {r.doc_id: r.folded for r in got(spark, "nfkc_fold")} == want
+
+
+def test_candidates_are_told_apart_by_their_whole_text(spark):
+    groups = defaultdict(dict)
+    for r in sorted(rows(spark, "documents"), key=lambda r: (r.doc_id % 3, r.doc_id)):
+        groups[r.doc_id // 12].setdefault(r.text, (r.doc_id % 3, r.doc_id))
+    want = set()
+    for source, kept in groups.items():
+        turns, order = Counter(), []
+        for method, i in sorted(kept.values()):
+            turns[method] += 1
+            order.append((turns[method], method, i))
+        want |= {(source, i, n) for n, (_, _, i) in enumerate(sorted(order)[:3], 1)}
+    assert {tuple(r) for r in got(spark, "candidate_round_robin")} == want
