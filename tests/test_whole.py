@@ -35,3 +35,14 @@ def test_candidates_are_told_apart_by_their_whole_text(spark):
             order.append((turns[method], method, i))
         want |= {(source, i, n) for n, (_, _, i) in enumerate(sorted(order)[:3], 1)}
     assert {tuple(r) for r in got(spark, "candidate_round_robin")} == want
+
+
+def test_numeric_exact_match_reads_all_orders(spark):
+    import math
+
+    sides = defaultdict(lambda: (Counter(), Counter()))
+    for r in rows(spark, "orders"):
+        sides[r.o_custkey % 50][r.o_orderkey % 2][math.floor(r.o_totalprice + 0.5) % 7] += 1
+    equal = [a == b for a, b in sides.values()]
+    (r,) = got(spark, "numeric_exact_match")
+    assert (r.cases, r.exact, r.mean) == (len(equal), sum(equal), round(sum(equal) / len(equal), 9))
