@@ -46,3 +46,19 @@ def test_numeric_exact_match_reads_all_orders(spark):
     equal = [a == b for a, b in sides.values()]
     (r,) = got(spark, "numeric_exact_match")
     assert (r.cases, r.exact, r.mean) == (len(equal), sum(equal), round(sum(equal) / len(equal), 9))
+
+
+def test_layout_similarity_holds_all_boxes_of_a_page(spark):
+    from itertools import combinations
+
+    from loomgraph.sources import corpora
+
+    pages = defaultdict(list)
+    for r in corpora.boxes(spark, SF).collect():
+        pages[r.page].append((r.x1, r.y1, r.x1 + (r.id % 3 - 1) * 2 * (r.id % 7), r.y1 + (r.id % 5 - 2) * (r.id % 11)))
+    want = {}
+    for page, boxes in pages.items():
+        axes = [(a[k] - b[k], a[k + 2] - b[k + 2]) for a, b in combinations(boxes, 2) for k in (0, 1) if abs(a[k] - b[k]) > 3]
+        if len(boxes) > 1:
+            want[page] = len(axes), round(sum(abs(e) > 3 and (d > 0) == (e > 0) for d, e in axes) / len(axes), 9) if axes else None
+    assert {r.page: (r.axes, r.similarity) for r in got(spark, "layout_similarity")} == want
