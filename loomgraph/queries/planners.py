@@ -74,7 +74,7 @@ SELECT CAST(g AS INTEGER) AS g, series, CAST(dims AS BIGINT) AS dims, CAST(scale
   round(0.5 + v / scale_max * 0.5 * cos(2 * pi() * dm / need - pi() / 2), 6) AS last_x, round(0.5 + v / scale_max * 0.5 * sin(2 * pi() * dm / need - pi() / 2), 6) AS last_y FROM w""")
 def radar_plan(spark, sf_dir):
     """Series over dimensions: complete or not, the scale, and where the last point is."""
-    c = corpora.table(spark, sf_dir, "customer").filter("c_custkey % 9 < 4").select("c_nationkey", "c_mktsegment").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("value"))
+    c = corpora.table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("value"))
     n = corpora.table(spark, sf_dir, "nation")
     v = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("g"), F.col("n_name").alias("series"), F.col("c_mktsegment").alias("d")).agg(F.sum("value").alias("value"))
     from pyspark.sql import Window

@@ -62,3 +62,45 @@ def test_layout_similarity_holds_all_boxes_of_a_page(spark):
         if len(boxes) > 1:
             want[page] = len(axes), round(sum(abs(e) > 3 and (d > 0) == (e > 0) for d, e in axes) / len(axes), 9) if axes else None
     assert {r.page: (r.axes, r.similarity) for r in got(spark, "layout_similarity")} == want
+
+
+def test_gantt_schedule_has_every_order(spark):
+    from datetime import UTC
+
+    orders = defaultdict(list)
+    for r in rows(spark, "lineitem"):
+        orders[r.l_orderkey].append((r.l_linenumber, r.l_partkey, r.l_extendedprice, r.l_quantity, r.l_shipdate))
+    want = set()
+    for g, tasks in orders.items():
+        end = None
+        for pos, (*_, n, ship) in enumerate(sorted(tasks), 1):
+            begin = spark_millis(ship, UTC) if end is None else end
+            end = begin + int(n) * 86400000
+            want.add((g, pos, begin, end))
+    assert {tuple(r) for r in got(spark, "gantt_schedule")} == want
+
+
+def spark_millis(day, zone):
+    """Milliseconds of the start of a date, or of a time without or in its zone."""
+    from datetime import datetime, time
+
+    at = day if isinstance(day, datetime) else datetime.combine(day, time())
+    return int(at.replace(tzinfo=zone).timestamp() * 1000)
+
+
+def test_kanban_board_has_every_card(spark):
+    cards = defaultdict(list)
+    for r in rows(spark, "documents"):
+        cards[r.lang].append(r.doc_id)
+    want = {c: (len(cards[c]), " ".join(map(str, sorted(cards[c])))) for c in ("en", "de", "fr", "es", "it")}
+    assert {r.col: (r.cards, r.ids) for r in got(spark, "kanban_board")} == want
+
+
+def test_radar_plan_counts_every_customer(spark):
+    nation = {r.n_nationkey: (r.n_regionkey, r.n_name) for r in rows(spark, "nation")}
+    counts = Counter((*nation[r.c_nationkey], r.c_mktsegment) for r in rows(spark, "customer"))
+    top, dims = defaultdict(int), Counter()
+    for (g, series, _), n in counts.items():
+        top[g] = max(top[g], n)
+        dims[g, series] += 1
+    assert {(r.g, r.series): (r.dims, r.scale_max) for r in got(spark, "radar_plan")} == {k: (n, top[k[0]]) for k, n in dims.items()}
