@@ -25,8 +25,20 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm._shared import written
 
-#: Suffixes of two labels under which names are registered; a parameter, longer lists may be given.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "co.in", "co.za", "co.kr", "com.tr")
+#: Labels under which names are registered, by country: the default of ``suffixes``, from memory and not the whole
+#: public suffix list, which may be given instead.
+_SECOND = {
+    "ae": "ac co gov net org sch", "ar": "com edu gob int mil net org tur", "at": "ac co gv or", "au": "asn com edu gov id net org", "bd": "ac com edu gov net org", "bo": "com edu gob net org",
+    "br": "com edu gov net org", "cn": "ac com edu gov net org", "co": "com edu gov net nom org", "cr": "ac co ed fi go or", "cu": "com edu gov net org", "cy": "ac com gov net org", "do": "com edu gob net org",
+    "ec": "com edu gob net org", "eg": "com edu gov net org", "es": "com edu gob nom org", "gh": "com edu gov org", "gr": "com edu gov net org", "gt": "com edu gob net org", "hk": "com edu gov idv net org",
+    "id": "ac co go my net or sch web", "il": "ac co gov k12 muni net org", "in": "ac co edu firm gen gov ind net nic org res", "jp": "ac ad co ed go gr lg ne or", "ke": "ac co go ne or", "kr": "ac co go ne or pe re",
+    "lk": "com edu gov org", "mt": "com edu net org", "mx": "com edu gob net org", "my": "com edu gov net org", "ng": "com edu gov net org", "ni": "com edu gob net org", "np": "com edu gov net org",
+    "nz": "ac co geek gen govt iwi maori net org school", "pa": "com edu gob net org", "pe": "com edu gob net org", "ph": "com edu gov net org", "pk": "com edu gov net org", "pl": "com edu gov net org", "pt": "com edu gov org",
+    "py": "com edu gov net org", "sa": "com edu gov net org", "sg": "com edu gov net org per", "sv": "com edu gob org", "th": "ac co go in mi net or", "tr": "av bel com dr edu gen gov k12 net org web",
+    "tw": "com edu gov idv net org", "tz": "ac co go or", "ua": "com edu gov in net org", "ug": "ac co go or", "uk": "ac co gov ltd me net nhs org plc police sch", "uy": "com edu gub net org", "ve": "co com gob net org",
+    "vn": "ac com edu gov net org", "za": "ac co gov net org web", "zm": "ac co com gov org", "zw": "ac co gov org",
+}
+TWO_LABEL_SUFFIXES = tuple(f"{label}.{country}" for country, labels in _SECOND.items() for label in labels.split())
 
 
 def ascii_lower(c: Column) -> Column:
@@ -43,13 +55,16 @@ def path_of(url: str = "url") -> Column:
     return F.when(F.locate("://", u) > 0, F.regexp_extract(u, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
-def levels(host: str = "host") -> list[tuple[str, Column]]:
-    """domain and suffix of a host; addresses and names without a dot are their own."""
+def levels(host: str = "host", suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> list[tuple[str, Column]]:
+    """domain and suffix of a host; addresses and names without a dot are their own.
+
+    ``suffixes``: those of two labels under which names are registered.
+    """
     bare = F.regexp_replace(F.regexp_replace(F.col(host), r"^.*@", ""), r":\d*$", "")
     parts = F.split(bare, r"\.")
     n = F.size(parts)
     two = F.concat_ws(".", F.slice(parts, F.greatest(n - 1, F.lit(1)), 2))
-    deep = two.isin(*TWO_LABEL_SUFFIXES)
+    deep = two.isin(*suffixes)
     address = bare.rlike(r"^[0-9.]+$") | F.contains(bare, F.lit("["))
     suffix = F.when(address | (n < 2), bare).when(deep, two).otherwise(F.element_at(parts, -1))
     domain = F.when(address | (n < 2), bare).when(deep & (n > 2), F.concat_ws(".", F.slice(parts, F.greatest(n - 2, F.lit(1)), 3))).otherwise(two)
@@ -69,14 +84,14 @@ def strength(n: str, bad: str, mean: str) -> Column:
     return F.when(share > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), 1 / share - 1))).otherwise(F.lit(1000.0))
 
 
-def reputations(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def reputations(outcomes: DataFrame, z: float = 1.645, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Posteriors by host, by domain, by suffix, and of all: key, mean, low (the lower bound).
 
     ``outcomes``: host, bad (0, 1 or null).
     """
     known = outcomes.filter("bad is not null and host is not null")
     hosts = known.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
-    hosts = written(hosts.withColumns(dict(levels())), "hosts")
+    hosts = written(hosts.withColumns(dict(levels(suffixes=suffixes))), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = written(domains, "domains")
     suffixes = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
@@ -109,16 +124,16 @@ def rule_of(rules: list[tuple[str, str, str]], host: str = "host", path: str = "
     return rule, verdict
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], limit: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], limit: float = 0.5, z: float = 1.645, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, and the posterior mean and bound used, of every page.
 
-    ``outcomes``: page_id, bad.  Pages meet the rates by host, which is computed once for each
+    ``outcomes``: page_id, bad; ``suffixes``: those of two labels.  Pages meet the rates by host, which is computed once for each
     distinct host; a host with a large part of the pages is a skewed key that Spark splits.
     """
     urls = pages.select("page_id", host_of().alias("host"), path_of().alias("path"))
     labelled = urls.join(outcomes.select("page_id", F.col("bad").cast("int").alias("bad")), "page_id")
-    by_host, by_domain, by_suffix, every = reputations(labelled, z)
-    hosts = urls.select("host").distinct().withColumns(dict(levels()))
+    by_host, by_domain, by_suffix, every = reputations(labelled, z, suffixes)
+    hosts = urls.select("host").distinct().withColumns(dict(levels(suffixes=suffixes)))
     pick = lambda df, key, to: df.select(key, F.col("mean").alias(f"{to}_mean"), F.col("low").alias(f"{to}_low"))
     rates = hosts.join(pick(by_host, "host", "h"), "host", "left").join(pick(by_domain, "domain", "d"), "domain", "left").join(pick(by_suffix, "suffix", "s"), "suffix", "left")
     rates = rates.join(F.broadcast(every.select(F.col("mean").alias("e_mean"), F.col("low").alias("e_low"))))

@@ -205,3 +205,18 @@ def test_mixture_odd_rows(odd, empty):
     assert mixing.mixture(empty, mixing.Target()).count() == 0
     one = mixing.mixture(odd.filter("source = 'u'"), mixing.Target())
     assert one.count() == 3 and one.first().weight == 1
+
+
+def test_two_label_suffixes_can_be_given(spark):
+    hosts = spark.createDataFrame([("a.com.ar",), ("x.b.co.il",), ("c.com.sg",), ("d.co.uk",), ("e.f.example",)], "host string")
+    found = lambda *a: [tuple(r) for r in hosts.select(*[c.alias(n) for n, c in url_filter.levels("host", *a)]).collect()]
+    assert found() == [("a.com.ar", "com.ar"), ("b.co.il", "co.il"), ("c.com.sg", "com.sg"), ("d.co.uk", "co.uk"), ("f.example", "example")]
+    assert found(("f.example",)) == [("com.ar", "ar"), ("co.il", "il"), ("com.sg", "sg"), ("co.uk", "uk"), ("e.f.example", "f.example")]
+
+
+def test_unrelated_hosts_under_a_two_label_suffix_share_no_domain(spark):
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(["bad.com.ar"] * 40 + ["good.com.ar"] * 40 + ["new.com.ar"])], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "page_id long, bad int")
+    mean = lambda *a: {r.host: r.mean for r in url_filter.judge(pages, outcomes, [], 0.5, 1.645, *a).collect()}
+    apart, together = mean(), mean(("co.uk",))
+    assert apart["bad.com.ar"] != together["bad.com.ar"]
