@@ -1,15 +1,15 @@
 """Toxicity by a linear classifier over character n-grams (operator 10).
 
-Features are the distinct byte n-grams of the lower-cased text, hashed.  Each is scaled by its naive
-Bayes log-count ratio between toxic and other labelled texts, and a logistic regression is fitted on
-the scaled features (NB-SVM).  The model is fitted on at most ``rows`` labelled texts, those with
-the least hash of doc_id; its ratios keep the ``kept`` features that tell most.  Only the text
-ever enters a score.
-
-Defined results: a null or empty text has the score of the bias alone; labels that repeat a doc_id
-count each, contradictory or not; null labels are left out; without labels of both kinds the score
-is the share of toxic labels, or 0 without any; rows that repeat a doc_id are each scored; other
-columns do not matter.
+Features are the distinct n-grams of code points of the lower-cased text between blanks, each by a 64-bit hash, so
+that none are taken for each other.  Each is scaled by its naive Bayes log-count ratio between toxic and
+other labelled texts, and a ridge logistic regression is fitted on the scaled features (NB-SVM).  The model is
+fitted on at most ``rows`` labelled texts, those with the least hash of doc_id, and has every feature of theirs.
+Only the text ever enters a score.
+
+Defined results: a null or empty text has the features of two blanks; labels that repeat a doc_id
+count each, contradictory or not, and of texts that repeat a doc_id the least is learnt from; null labels are left
+out; without labels of both kinds the score is the share of toxic labels, or 0 without any; rows that repeat a
+doc_id are each scored; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -27,153 +27,138 @@ from loomgraph.llm._shared import ready, written
 
 @dataclass(frozen=True)
 class Settings:
-    grams: tuple[int, ...] = (4, 5, 6)
-    width: int = 18  # bits of a feature's number
+    grams: tuple[int, ...] = (3, 4, 5)
     rows: int = 6000
-    kept: int = 12_000
     smooth: float = 1.0
-    ridge: float = 1.0  # against the sum over all texts
-    steps: int = 200
-
-
-class Featurizer:
-    """Distinct hashed n-grams of a text without sorting: the last to claim a number's place wins."""
-
-    def __init__(self, s: Settings):
-        self.s = s
-        self.claim = np.zeros(1 << s.width, np.int32)
-
-    def __call__(self, text: str | None, block: int = 1 << 20) -> np.ndarray:
-        raw = np.frombuffer(f" {text or ''} ".lower().encode(), np.uint8).astype(np.uint32)
-        longest, found = max(self.s.grams), []
-        for i in range(0, max(1, len(raw)), block):
-            part = raw[i : i + block + longest - 1]
-            h = np.zeros(len(part), np.uint32)
-            for n in range(1, longest + 1):
-                if n > len(part):
-                    break
-                h = h[: len(part) - n + 1] * np.uint32(0x01000193) + part[n - 1 :] + np.uint32(1)
-                if n in self.s.grams:
-                    x = (h ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-                    x = (x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35)
-                    found.append(self._distinct(x >> np.uint32(32 - self.s.width)))
-        return self._distinct(np.concatenate(found)) if found else np.zeros(0, np.uint32)
-
-    def _distinct(self, x: np.ndarray) -> np.ndarray:
-        order = np.arange(len(x), dtype=np.int32)
-        self.claim[x] = order
-        return x[self.claim[x] == order]
+    ridge: float = 10.0  # against the sum over all texts
+    steps: int = 100
+
+
+@dataclass(frozen=True)
+class Model:
+    """``keys``: hashes of the features in order; ``ratio``: of each; ``weight``: times its ratio."""
+
+    keys: np.ndarray
+    ratio: np.ndarray
+    weight: np.ndarray
+    bias: float
+
+
+def features(text: str | None, grams: tuple[int, ...], block: int = 1 << 20) -> np.ndarray:
+    """Hashes of the distinct n-grams, in order; long texts are worked through in blocks."""
+    whole, longest, found = f" {(text or '').lower()} ", max(grams), []
+    for i in range(0, len(whole), block):
+        part = np.frombuffer(whole[i : i + block + longest - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        h = np.zeros(len(part), np.uint64)
+        parts = []
+        for n in range(1, min(longest, len(part)) + 1):
+            h = h[: len(part) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + part[n - 1 :] + np.uint64(1)
+            if n in grams:
+                # grams that begin in the next block are left to it
+                own = h[:block]
+                x = (own ^ (own >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+                parts.append(x ^ (x >> np.uint64(29)))
+        if parts:
+            found.append(np.unique(np.concatenate(parts)))
+    return np.zeros(0, np.uint64) if not found else found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """y and the features of at most ``s.rows`` labelled texts, as a written table.
+    """doc_id, y and the features of at most ``s.rows`` labelled texts, as a written table.
 
     ``labels``: doc_id, toxic.  The sample's ids, at most ``s.rows``, are sent to all tasks, so no
-    text is shuffled.
+    other text is shuffled.
     """
     ready(docs.sparkSession)
     chosen = labels.filter("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(s.rows)
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
+    chosen = written(chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(s.rows), "chosen")
+    texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    # a doc_id has one text, so there are no more rows than labels
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    grams = s.grams
 
     def run(batches):
-        get = Featurizer(s)
         for batch in batches:
-            found = [get(x.as_py()) for x in batch.column(1)]
+            found = [features(x.as_py(), grams) for x in batch.column(2)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32)))], names=["y", "features"])
-
-    return written(texts.mapInArrow(run, "y int, features array<int>"), "labelled")
+            flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["doc_id", "y", "features"])
 
+    return written(texts.mapInArrow(run, T.StructType([texts.schema["doc_id"], T.StructField("y", T.IntegerType()), T.StructField("features", T.ArrayType(T.LongType()))])), "labelled")
 
-def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
-    """The model: weight of each feature number, and bias.
 
-    To the driver come counts of at most 2 ** ``width`` features and, of at most ``rows`` texts,
-    those of the ``kept`` features.
-    """
-    rows = sample(docs, labels, s)
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sum(n for y, n in sizes.items() if y != 1)
-    weight = np.zeros(1 << s.width, np.float32)
-    if not n0 or not n1:
-        share = n1 / (n0 + n1) if n0 + n1 else 0.0
-        return {"weight": weight, "bias": float("inf") if share else float("-inf")}
-    counts = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.count("*").alias("n")).toArrow()
-    f, p, n = (counts[c].to_numpy() for c in ("f", "p", "n"))
-    q = n - p
-    ratio = np.log((p + s.smooth) / (n1 + 2 * s.smooth)) - np.log((q + s.smooth) / (n0 + 2 * s.smooth))
-    # how much a feature tells: its ratio against the error of the ratio; ties by number
-    worth = np.abs(ratio) / np.sqrt(1 / (p + s.smooth) + 1 / (q + s.smooth))
-    top = np.lexsort((f, -worth))[: s.kept]
-    scale = np.zeros(1 << s.width, np.float32)
-    scale[f[top]] = ratio[top]
-    keep = np.zeros(1 << s.width, bool)
-    keep[f[top]] = True
-
-    def only(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            flat = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
-            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            good = keep[flat]
-            cuts = np.concatenate([[0], np.cumsum(good)])[ends].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat[good]))], names=["y", "features"])
-
-    data = rows.mapInArrow(only, "y int, features array<int>").toArrow()
+def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
+    """The model.  To the driver come the features of at most ``rows`` texts, 8 bytes each."""
     found = []
-    for batch in data.to_batches():
-        lists, flat = batch.column(1), batch.column(1).values.to_numpy()
-        cuts = lists.offsets.to_numpy()
-        found += [(y, flat[i:j].tobytes()) for y, i, j in zip(batch.column(0).to_pylist(), cuts, cuts[1:])]
+    for batch in sample(docs, labels, s).toArrow().to_batches():
+        lists = batch.column(2)
+        flat, cuts = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        found += [(doc, y == 1, flat[i:j]) for doc, y, i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cuts, cuts[1:])]
     # in one order at every run: the sums of the fit depend on it
-    found.sort()
-    y = np.array([y == 1 for y, _ in found], np.float32)
-    flat = np.frombuffer(b"".join(x for _, x in found), np.int32)
-    size = np.array([len(x) >> 2 for _, x in found])
-    del data, found
-    w, bias = logistic(flat, size, scale[flat], y, 1 << s.width, s)
-    return {"weight": (w * scale).astype(np.float32), "bias": bias}
-
-
-def logistic(flat: np.ndarray, size: np.ndarray, value: np.ndarray, y: np.ndarray, width: int, s: Settings) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Adam over all rows at each step."""
-    row = np.repeat(np.arange(len(size)), size)
-    used, at = np.unique(flat, return_inverse=True)
-    w, b, n = np.ones(len(used)) * 0.05, 0.0, len(y)
-    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+    found.sort(key=lambda r: r[:2])
+    y = np.array([y for _, y, _ in found], bool)
+    n1, n0 = int(y.sum()), int((~y).sum())
+    none = np.zeros(0)
+    if not n0 or not n1:
+        return Model(none.astype(np.uint64), none, none, float("inf") if n1 else float("-inf"))
+    size = np.array([len(x) for *_, x in found])
+    keys, at = np.unique(np.concatenate([x for *_, x in found]), return_inverse=True)
+    del found
+    at = at.astype(np.int32)
+    p = np.bincount(at[np.repeat(y, size)], minlength=len(keys))
+    q = np.bincount(at, minlength=len(keys)) - p
+    ratio = np.log((p + s.smooth) / (n1 + 2 * s.smooth)) - np.log((q + s.smooth) / (n0 + 2 * s.smooth))
+    w, bias = logistic(at, size, ratio, y, s)
+    return Model(keys, ratio, w * ratio, bias)
+
+
+def logistic(at: np.ndarray, size: np.ndarray, ratio: np.ndarray, y: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Adam over all rows at each step; every text has a feature.
+
+    ``at``: the features of one text after another, ``size`` of each.  Sums go along the texts and, in another
+    order of the same entries, along the features.
+    """
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    order = np.argsort(at, kind="stable").astype(np.int32)
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+    first = np.searchsorted(at[order], np.arange(len(ratio)))
+    del order
+    w, b, n = np.full(len(ratio), 0.05), 0.0, len(y)
+    m, v, mb, vb = np.zeros(len(ratio)), np.zeros(len(ratio)), 0.0, 0.0
     for step in range(1, s.steps + 1):
-        z = np.bincount(row, weights=w[at] * value, minlength=n) + b
+        z = np.add.reduceat((w * ratio)[at], begin) + b
         err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.bincount(at, weights=err[row] * value, minlength=len(used)) / n + s.ridge / n * w
+        g = np.add.reduceat(err[row], first) * ratio / n + s.ridge / n * w
         gb = float(err.mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, c = 1 - 0.9**step, 1 - 0.99**step
         w -= 0.02 * (m / a) / (np.sqrt(v / c) + 1e-8)
         b -= 0.05 * (mb / a) / (np.sqrt(vb / c) + 1e-8)
-    out = np.zeros(width)
-    out[used] = w
-    return out, b
+    return w, b
 
 
-def scored(docs: DataFrame, model: dict, s: Settings = Settings(), name: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text.  One pass, no shuffle; the model is of fixed size."""
+def scored(docs: DataFrame, model: Model, s: Settings = Settings(), name: str = "score") -> DataFrame:
+    """``docs`` with the score of each whole text.  One pass, no shuffle; the model is that of the bounded sample."""
     spark = docs.sparkSession
     ready(spark)
-    weight = spark.sparkContext.broadcast(model["weight"])
-    bias = model["bias"]
+    sent = spark.sparkContext.broadcast((model.keys, model.weight))
+    bias, grams = model.bias, s.grams
     keep = [c for c in docs.columns if c != name]
     lean = docs.select(*keep)
     at = keep.index("text")
 
     def run(batches):
-        get, w = Featurizer(s), weight.value
+        keys, weight = sent.value
         for batch in batches:
-            z = [float(w[get(x.as_py())].sum(dtype=np.float64)) + bias for x in batch.column(at)]
+            z = np.full(batch.num_rows, bias)
+            for i, x in enumerate(batch.column(at)):
+                if len(keys):
+                    found = features(x.as_py(), grams)
+                    place = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                    z[i] += weight[place[keys[place] == found]].sum()
             with np.errstate(over="ignore"):
-                score = 1 / (1 + np.exp(-np.array(z, np.float64)))
+                score = 1 / (1 + np.exp(-z))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*keep, name])
 
     return lean.mapInArrow(run, T.StructType([*lean.schema.fields, T.StructField(name, T.DoubleType())]))
