@@ -27,8 +27,8 @@ from loomgraph.llm._shared import ready, written
 
 @dataclass(frozen=True)
 class Settings:
-    grams: tuple[int, ...] = (3, 4, 5)
-    rows: int = 6000
+    grams: tuple[int, ...] = (3, 4)
+    rows: int = 3000
     smooth: float = 1.0
     ridge: float = 10.0  # against the sum over all texts
     steps: int = 100
@@ -89,21 +89,21 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """The model.  To the driver come the features of at most ``rows`` texts, 8 bytes each."""
-    found = []
-    for batch in sample(docs, labels, s).toArrow().to_batches():
-        lists = batch.column(2)
-        flat, cuts = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        found += [(doc, y == 1, flat[i:j]) for doc, y, i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cuts, cuts[1:])]
+    got = sample(docs, labels, s).toArrow().combine_chunks()
     # in one order at every run: the sums of the fit depend on it
-    found.sort(key=lambda r: r[:2])
-    y = np.array([y for _, y, _ in found], bool)
+    doc, y = got["doc_id"].to_pylist(), np.array([v == 1 for v in got["y"].to_pylist()], bool)
+    order = sorted(range(len(doc)), key=lambda i: (doc[i], y[i]))
+    y = y[order]
     n1, n0 = int(y.sum()), int((~y).sum())
     none = np.zeros(0)
     if not n0 or not n1:
         return Model(none.astype(np.uint64), none, none, float("inf") if n1 else float("-inf"))
-    size = np.array([len(x) for *_, x in found])
-    keys, at = np.unique(np.concatenate([x for *_, x in found]), return_inverse=True)
-    del found
+    parts = [x for i in order for x in [got["features"][i].values.to_numpy()]]
+    size = np.array([len(x) for x in parts])
+    flat = np.concatenate(parts).view(np.uint64)
+    del got, parts
+    keys, at = np.unique(flat, return_inverse=True)
+    del flat
     at = at.astype(np.int32)
     p = np.bincount(at[np.repeat(y, size)], minlength=len(keys))
     q = np.bincount(at, minlength=len(keys)) - p
