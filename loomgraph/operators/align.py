@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators import identifiers
 from loomgraph.sources.shared import settled
 
 
@@ -64,8 +65,9 @@ def remap(edges: DataFrame, pairs: DataFrame, columns: list[str], by: list[str]
     return out
 
 
-def ambiguous(rows: DataFrame, key: str, id: str = "id", rounds: int = 8) -> DataFrame:
-    """Ids whose portable form clashes: that of another id, or another id itself, to a fixed point."""
-    bad = rows.select(id, key).groupBy(key).agg(F.count("*").alias("n"), F.collect_set(id).alias("ids")).filter("n > 1").select(F.explode("ids").alias(id))
-    taken = rows.select(F.col(id).alias(key)).join(rows.filter(F.col(key) != F.col(id)).select(key, F.col(id).alias("_other")), key).select(F.explode(F.array(F.col(key), F.col("_other"))).alias(id))
-    return bad.unionByName(taken.select(id)).distinct()
+def by_id(source: DataFrame, generated: DataFrame, order: list[str], by: str = "g", id: str = "id") -> DataFrame:
+    """by, source_id, generated_id: ids that are on both sides, but for those of the source whose portable forms cannot be told apart
+    (and what these are emitted as).  ``order``: in which the source's ids are emitted."""
+    unclear = identifiers.ambiguous(source, order, by, id).select(by, id).distinct()
+    both = source.select(by, id).distinct().join(generated.select(by, id).distinct(), [by, id]).join(unclear, [by, id], "left_anti")
+    return both.select(by, F.col(id).alias("source_id"), F.col(id).alias("generated_id"))

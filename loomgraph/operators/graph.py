@@ -1,23 +1,25 @@
 """Arcs, paths, cycles and trees.
 
 Graphs are edge rows with a graph key.  What can take exponentially many steps (paths) or must not
-revisit (cycles) is a fold over one graph's distinct arcs, with budgets: a graph that exceeds one is
-unavailable as a whole, never cut short.  Trees are flattened by recursive SQL, as each node comes up
-once.
+revisit (cycles) is a fold over one graph's distinct arcs.  Paths have budgets: a graph that exceeds one is
+unavailable as a whole, never cut short.  Graphs too large for one task are tested for cycles, and trees
+flattened, a level at a time over written tables.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import folds
 from loomgraph.sources.shared import settled
 
-# fixed values: most paths, steps and arcs of a graph
-PATHS, STATES, ARCS = 10_000, 100_000, 10_000
+# fixed values: most paths and steps of a graph
+PATHS, STATES = 10_000, 100_000
+#: Arcs of a graph that one task holds.
+ARCS = 1_000_000
+#: Levels of a tree, the root's included (a fixed value).
+DEPTH = 64
 
 
 def arcs(relations: DataFrame, *keep: str) -> DataFrame:
@@ -52,17 +54,11 @@ def roots_and_terminals(edges: DataFrame, by: list[str] | None = None) -> DataFr
     return ends(edges, by).withColumn("role", role).filter("role is not null").select(*(by or []), "node", "role")
 
 
-def _view(df: DataFrame) -> str:
-    name = f"g_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return name
-
-
-def _arcs_of(rows, most: int) -> dict | None:
+def _arcs_of(rows, most: int | None = None) -> dict | None:
     """Adjacency of a graph, None beyond ``most`` arcs."""
     out: dict = {}
     for n, (src, dst) in enumerate(rows):
-        if n >= most:
+        if most is not None and n >= most:
             return None
         out.setdefault(src, []).append(dst)
         out.setdefault(dst, [])
@@ -71,11 +67,11 @@ def _arcs_of(rows, most: int) -> dict | None:
 
 def simple_paths(edges: DataFrame, paths: int = PATHS, states: int = STATES) -> DataFrame:
     """g, path: from every root to every terminal without a repeated node, at least two nodes; a single
-    null path where the graph has too many arcs, steps or paths.  edges: g, src, dst."""
+    null path where the graph has too many steps or paths, each arc being a step.  edges: g, src, dst."""
     kinds = dict(edges.dtypes)
 
     def step(g, rows):
-        to = _arcs_of(rows, ARCS)
+        to = _arcs_of(rows, states)
         if to is None:
             yield g, None
             return
@@ -116,15 +112,16 @@ def path_counts(edges: DataFrame) -> DataFrame:
     return simple_paths(edges).groupBy("g").agg(F.when(F.count("path") == F.count("*"), F.count("*")).alias("paths"))
 
 
-def acyclic(edges: DataFrame) -> DataFrame:
-    """g, nodes, acyclic: whether taking away nodes that nothing enters leaves none; null beyond ARCS."""
+def acyclic(edges: DataFrame, most: int = ARCS) -> DataFrame:
+    """g, nodes, acyclic: whether taking away nodes that nothing enters leaves none.
+
+    A graph of up to ``most`` distinct arcs is one task's.  Of larger ones all arcs from such nodes, and all to nodes
+    that nothing leaves, go at a time, over written tables, as often as the longest way has arcs.
+    """
     kind = dict(edges.dtypes)["g"]
 
     def step(g, rows):
-        to = _arcs_of(rows, ARCS)
-        if to is None:
-            yield g, None, None
-            return
+        to = _arcs_of(rows)
         entered = dict.fromkeys(to, 0)
         for out in to.values():
             for d in out:
@@ -139,25 +136,46 @@ def acyclic(edges: DataFrame) -> DataFrame:
                     free.append(d)
         yield g, len(to), gone == len(to)
 
-    return folds.fold(edges.select("g", "src", "dst").distinct(), "g", ["src", "dst"], step, f"g {kind}, nodes long, acyclic boolean")
-
-
-def preorder(tree: DataFrame, depth: int = 64) -> DataFrame:
-    """g, id, parent, depth, place: preorder from the roots.  tree: g, id, parent (null: root), pos.
-
-    Nodes that no root reaches (cycles, orphans) do not appear.
+    every = settled(edges.select("g", "src", "dst").distinct(), "arcs")
+    large = settled(every.groupBy("g").count().filter(F.col("count") > most).select("g"), "large")
+    small = folds.fold(every.join(large, "g", "left_anti"), "g", ["src", "dst"], step, f"g {kind}, nodes long, acyclic boolean")
+    if large.isEmpty():
+        return small
+    left = settled(every.join(large, "g", "left_semi"), "arcs")
+    nodes = left.select("g", F.explode(F.array("src", "dst")).alias("n")).distinct().groupBy("g").agg(F.count("*").alias("nodes"))
+    n, before = left.count(), None
+    while n and n != before:
+        entered, leaving = left.select("g", F.col("dst").alias("src")).distinct(), left.select("g", F.col("src").alias("dst")).distinct()
+        left = settled(left.join(entered, ["g", "src"], "left_semi").join(leaving, ["g", "dst"], "left_semi").select("g", "src", "dst"), "arcs")
+        n, before = left.count(), n
+    cyclic = left.select("g").distinct().withColumn("cyclic", F.lit(True))
+    return small.unionByName(nodes.join(cyclic, "g", "left").select("g", "nodes", F.col("cyclic").isNull().alias("acyclic")))
+
+
+def preorder(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """g, id, parent, depth (0: a root), place: preorder from the roots.  tree: g, id, parent (null: root), pos.
+
+    A tree has ``depth`` levels at most, the roots' included: nodes one level below have a depth and no place, and what
+    is under them does not appear.  Nor do nodes that no root reaches (cycles, orphans), ids that a diagram has
+    twice, and what is under these.  A level is a join of the level above with the tree, both written, so a node
+    with very many children is split; only the places of one diagram are ordered by one task.
     """
-    spark = tree.sparkSession
-    t = _view(settled(tree.select("g", "id", "parent", "pos"), "tree"))
-    flat = spark.sql(f"""
-        WITH RECURSIVE down(g, id, parent, depth, trail) MAX RECURSION LEVEL {depth + 2} AS (
-            SELECT g, id, parent, 0, array(pos) FROM {t} WHERE parent IS NULL
-            UNION ALL
-            SELECT t.g, t.id, t.parent, d.depth + 1, concat(d.trail, array(t.pos)) FROM down d JOIN {t} t ON t.g = d.g AND t.parent = d.id WHERE d.depth < {depth}
-        )
-        SELECT * FROM down
-    """)
-    return flat.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("trail", "id"))).drop("trail")
+    t = settled(tree.select("g", "id", "parent", "pos"), "tree")
+    twice = t.groupBy("g", "id").count().filter("count > 1").select("g", "id")
+    t = settled(t.join(twice, ["g", "id"], "left_anti"), "tree")
+    here = F.array(F.struct("pos", "id"))
+    level = t.filter("parent is null").select("g", "id", "parent", F.lit(0).alias("depth"), here.alias("trail"))
+    found = level.limit(0)
+    for i in range(depth + 1):
+        level = settled(level, "level")
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+        above = level.select("g", F.col("id").alias("parent"), F.col("trail").alias("_above"))
+        level = t.join(above, ["g", "parent"]).select("g", "id", "parent", F.lit(i + 1).alias("depth"), F.concat("_above", here).alias("trail"))
+    shown = F.col("depth") < depth
+    place = F.when(shown, F.row_number().over(Window.partitionBy("g", shown).orderBy("trail")))
+    return found.withColumn("place", place).drop("trail")
 
 
 def rollup(leaves: DataFrame, levels: list[str], value: str) -> DataFrame:
@@ -166,15 +184,6 @@ def rollup(leaves: DataFrame, levels: list[str], value: str) -> DataFrame:
     return out.withColumn("level", (F.lit(len(levels)) - F.bit_count("_g")).cast("int")).drop("_g")
 
 
-def fold_log(rows: DataFrame, by: str, order: str, fold, schema: str) -> DataFrame:
-    """``fold`` (a function of one group's frame in order) where a row depends on all before it."""
-
-    def run(pdf):
-        return fold(pdf.sort_values(order, kind="stable"))
-
-    return rows.groupBy(by).applyInPandas(run, schema)
-
-
 def degree_ends(edges: DataFrame, by: list[str]) -> DataFrame:
     """by, first, last: the only start and the only end of a graph, else null; self-loops do not count."""
     d = ends(edges.filter("src <> dst"), by)

@@ -66,22 +66,90 @@ def last_hint(hints: DataFrame, known: DataFrame) -> DataFrame:
     return hints.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").join(known, ["bundle", "node"], "left_semi")
 
 
-def apply_operations(nodes: DataFrame, edges: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Scene tables after operations, of which the last on each node or edge counts.
+#: Operations, and which of id, source, target, label, members each needs besides its id.
+OPERATIONS = ("add_node", "delete_node", "relabel", "add_edge", "delete_edge", "reconnect", "label_edge", "group", "ungroup")
+
+
+class Scene:
+    """Nodes, edges and groups by id.  An operation that does not fit the scene as it is then changes nothing."""
+
+    def __init__(self):
+        self.nodes: dict = {}
+        self.edges: dict = {}
+        self.groups: dict = {}
+
+    def apply(self, op: str, id, source=None, target=None, label=None, members=None) -> bool:
+        if id is None:
+            return False
+        if op == "add_node":
+            ok = id not in self.nodes
+            if ok:
+                self.nodes[id] = label
+        elif op == "delete_node":
+            ok = id in self.nodes
+            if ok:
+                del self.nodes[id]
+                self.edges = {k: e for k, e in self.edges.items() if id not in e[:2]}
+                self.groups = {k: (name, some) for k, (name, all_) in self.groups.items() if (some := [m for m in all_ if m != id])}
+        elif op == "relabel":
+            ok = id in self.nodes and label is not None
+            if ok:
+                self.nodes[id] = label
+        elif op in ("add_edge", "reconnect"):
+            ok = source in self.nodes and target in self.nodes and (id in self.edges) == (op == "reconnect")
+            if ok:
+                self.edges[id] = (source, target, label if op == "add_edge" else self.edges[id][2])
+        elif op == "delete_edge":
+            ok = self.edges.pop(id, None) is not None
+        elif op == "label_edge":
+            ok = id in self.edges
+            if ok:
+                self.edges[id] = (*self.edges[id][:2], label)
+        elif op == "group":
+            some = members or []
+            placed = {m for _, all_ in self.groups.values() for m in all_}
+            ok = id not in self.groups and len(some) >= 2 and len(set(some)) == len(some) and all(m in self.nodes and m not in placed for m in some)
+            if ok:
+                self.groups[id] = (label, list(some))
+        elif op == "ungroup":
+            ok = self.groups.pop(id, None) is not None
+        else:
+            ok = False
+        return ok
+
+
+def apply_operations(nodes: DataFrame, edges: DataFrame, ops: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """bundle, kind (node, edge, group; refused: an operation that changed nothing), id, source, target, label, members.
 
-    nodes: bundle, id, label; edges: bundle, id, source, target, label; ops: bundle, seq, op (add_node,
-    delete_node, relabel, add_edge, delete_edge, reconnect, label_edge), id, source, target, label.
-    An edge goes with either of its nodes.
+    nodes: bundle, id, label; edges: bundle, id, source, target, label; groups: bundle, id, label, members; ops: bundle, seq, op (of
+    OPERATIONS), id, source, target, label, and members if there are groups.  Each operation meets the scene that those
+    before it left, so a bundle is one fold; it holds one scene.  An edge goes with either of its nodes, and a group
+    with its last member; a label of null takes an edge's label away.  Scene rows that do not fit (ends that are
+    unknown, ids that come twice) are refused like operations.
     """
-    w = Window.partitionBy("bundle", "id", F.col("op").contains("node") | (F.col("op") == "relabel")).orderBy(F.desc("seq"))
-    last = ops.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-    n_ops, e_ops = last.filter("op in ('add_node', 'delete_node', 'relabel')"), last.filter("op in ('add_edge', 'delete_edge', 'reconnect', 'label_edge')")
-    n = nodes.select("bundle", "id", F.col("label").alias("_l")).join(n_ops.select("bundle", "id", "op", "label"), ["bundle", "id"], "full")
-    n = n.filter((F.col("op").isNull()) | ((F.col("op") != "delete_node") & (F.col("_l").isNotNull() | (F.col("op") == "add_node"))))
-    n = n.select("bundle", "id", F.coalesce("label", "_l").alias("label"))
-    e = edges.select("bundle", "id", F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("label").alias("_l")).join(e_ops.select("bundle", "id", "op", "source", "target", "label"), ["bundle", "id"], "full")
-    e = e.filter(F.col("op").isNull() | ((F.col("op") != "delete_edge") & (F.col("_s").isNotNull() | (F.col("op") == "add_edge"))))
-    e = e.select("bundle", "id", F.coalesce("source", "_s").alias("source"), F.coalesce("target", "_t").alias("target"), F.coalesce("label", "_l").alias("label"))
-    for end in ("source", "target"):
-        e = e.join(n.select("bundle", F.col("id").alias(end)), ["bundle", end], "left_semi")
-    return n, e.select("bundle", "id", "source", "target", "label")
+    columns = {"id": "string", "source": "string", "target": "string", "label": "string", "members": "array<string>"}
+
+    def as_ops(df: DataFrame, turn: int, op: str | None) -> DataFrame:
+        have = [F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()]
+        seq = F.col("seq").cast("long") if op is None else F.lit(0).cast("long")
+        return df.select("bundle", F.lit(turn).alias("turn"), seq.alias("seq"), (F.col("op") if op is None else F.lit(op)).alias("op"), *have)
+
+    every = as_ops(nodes, 0, "add_node").unionByName(as_ops(edges, 1, "add_edge"))
+    if groups is not None:
+        every = every.unionByName(as_ops(groups, 2, "group"))
+    every = every.unionByName(as_ops(ops, 3, None))
+
+    def step(bundle, rows):
+        scene = Scene()
+        for _, _, op, id, source, target, label, members in rows:
+            if not scene.apply(op, id, source, target, label, members):
+                yield bundle, "refused", id, source, target, op, members
+        for id, label in scene.nodes.items():
+            yield bundle, "node", id, None, None, label, None
+        for id, (source, target, label) in scene.edges.items():
+            yield bundle, "edge", id, source, target, label, None
+        for id, (label, members) in scene.groups.items():
+            yield bundle, "group", id, None, None, label, members
+
+    kind = dict(every.dtypes)["bundle"]
+    return folds.fold(every, "bundle", ["turn", "seq", "id"], step, f"bundle {kind}, kind string, " + ", ".join(f"{c} {t}" for c, t in columns.items()))

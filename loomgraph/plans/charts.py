@@ -58,20 +58,19 @@ def treemap(leaves: DataFrame, levels: list[str], value: str = "value") -> DataF
     return out.withColumn("level", (F.lit(len(levels)) - F.bit_count("_g")).cast("int")).drop("_g")
 
 
-def venn(members: DataFrame, most: int = 3) -> DataFrame:
-    """sets (array), size of every intersection of up to ``most`` sets that has members.
+def venn(members: DataFrame, most: int | None = None) -> DataFrame:
+    """sets (array), size of every intersection that has members, of up to ``most`` sets (None: of all).
 
-    members: name, member, distinct.  A member's sets are gathered once and their combinations
-    counted, so no two members ever meet.
+    members: name, member, distinct.  A member's sets are gathered once, members with the same sets are
+    counted, and only then are combinations made, so no two members ever meet.  A member of k sets is
+    in 2 ** k - 1 intersections, all of which are in the result.
     """
     by = members.groupBy("member").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    n = F.size("names")
-    picks = [F.transform("names", lambda a: F.array(a))]
-    if most >= 2:
-        picks.append(F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, n), lambda b: F.array(a, b)))))
-    if most >= 3:
-        picks.append(F.flatten(F.transform("names", lambda a, i: F.flatten(F.transform(F.slice("names", i + 2, n), lambda b, j: F.transform(F.slice("names", i + j + 3, n), lambda c: F.array(a, b, c)))))))
-    return by.select(F.explode(F.concat(*picks)).alias("sets")).groupBy("sets").agg(F.count("*").alias("size"))
+    alike = by.groupBy("names").agg(F.count("*").alias("n"))
+    picks = F.expr("transform(sequence(1L, shiftleft(1L, size(names)) - 1), m -> filter(names, (x, i) -> (shiftright(m, i) & 1) = 1))")
+    if most is not None:
+        picks = F.filter(picks, lambda s: F.size(s) <= most)
+    return alike.select(F.explode(picks).alias("sets"), "n").groupBy("sets").agg(F.sum("n").alias("size"))
 
 
 def venn_checks(sizes: DataFrame) -> DataFrame:

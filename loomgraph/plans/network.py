@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
+from loomgraph.operators import identifiers
 from loomgraph.plans.charts import first_error
 from loomgraph.plans.ordered import emit
 
@@ -72,21 +73,15 @@ def merged(records: dict[str, DataFrame]) -> DataFrame:
 
 
 def nodes(kind: Kind, rows: DataFrame) -> DataFrame:
-    """g, pos, id, label, role, emitted, error: ids are unique in a diagram; emitted ids are portable,
-    with suffixes where they clash that skip ids which are taken."""
+    """g, record, pos, id, label, role, emitted, error: ids are unique in a diagram; emitted ids are portable, with suffixes where they
+    clash with one that came before; a missing id is N and its place."""
+    named = identifiers.emitted(rows.select("g", "record", "pos", "id", "label", "role"), ["record", "pos", "id"])
     same = F.count("*").over(Window.partitionBy("g", "id"))
-    base = text.portable(F.col("id"))
-    n = rows.withColumn("label", F.coalesce("label", "id")).withColumn("base", base)
-    turn = F.row_number().over(Window.partitionBy("g", "base").orderBy("record", "pos", "id"))
-    taken = F.collect_set("base").over(Window.partitionBy("g"))
-    n = n.withColumns({"turn": turn, "taken": taken})
-    # of the suffixes from 2 on that are free, the one of this turn
-    free = F.filter(F.sequence(F.lit(2), F.col("turn") + F.size(F.filter("taken", lambda t: F.startswith(t, F.concat(F.col("base"), F.lit("_"))))) + 1), lambda k: ~F.array_contains("taken", F.concat_ws("_", "base", k.cast("string"))))
-    emitted = F.when(F.col("turn") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.element_at(free, F.col("turn") - 1).cast("string")))
-    rules = [(F.col("id").isNull(), "no id"), (same > 1, "duplicate id"), (text.has_control(F.col("label")), "control character")]
+    n = named.withColumn("label", F.coalesce("label", "id"))
+    rules = [(same > 1, "duplicate id"), (text.has_control(F.col("label")), "control character")]
     if kind.roles:
         rules.append((F.col("role").isNotNull() & ~text.casefold(F.col("role")).isin(*kind.roles), "unknown role"))
-    return n.withColumns({"emitted": emitted, "error": first_error(*rules)}).select("g", "record", "pos", "id", "label", "role", "emitted", "error")
+    return n.withColumn("error", first_error(*rules)).select("g", "record", "pos", "id", "label", "role", "emitted", "error")
 
 
 def edges(kind: Kind, rows: DataFrame, planned: DataFrame) -> DataFrame:

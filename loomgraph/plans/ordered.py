@@ -77,10 +77,12 @@ def schedule(tasks: DataFrame) -> DataFrame:
 
 
 def board(columns: DataFrame, cards: DataFrame) -> DataFrame:
-    """col, pos, cards, ids in order, of every column; cards of unknown columns are left out."""
+    """col, pos, cards, ids in order, error of every column; cards of an unknown column are under its name, as an error."""
     ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("cpos", "id")))), lambda x: x["id"])
-    c = cards.select("col", F.col("pos").alias("cpos"), "id")
-    return columns.join(c, "col", "left").groupBy("col", "pos").agg(F.count("id").alias("cards"), ordered.alias("ids"))
+    c = cards.select(F.col("col").alias("ccol"), F.col("pos").alias("cpos"), "id")
+    met = columns.withColumn("known", F.lit(True)).join(c, columns["col"].eqNullSafe(c["ccol"]), "full")
+    met = met.withColumns({"col": F.coalesce("col", "ccol"), "error": F.when(F.col("known").isNull(), "unknown column")})
+    return met.groupBy("col", "pos", "error").agg(F.count("id").alias("cards"), ordered.alias("ids"))
 
 
 def timeline(rows: DataFrame) -> DataFrame:

@@ -14,17 +14,21 @@ from loomgraph.plans.ordered import emit
 RAILROAD = {"terminal": (0, 0), "nonterminal": (0, 0), "sequence": (1, None), "choice": (2, None), "optional": (1, 1), "repeat": (1, 2), "group": (1, 1)}
 
 
-def hierarchy(rows: DataFrame, depth: int = 64) -> DataFrame:
+def hierarchy(rows: DataFrame, depth: int = graph.DEPTH) -> DataFrame:
     """g, id, parent, label, depth, place, error.  rows: g, id, parent, pos, label.
 
-    Nodes that no root reaches are in the result with an error, without depth and place.
+    Nodes that have no place are in the result with an error: one level too deep, under such a node or (in a diagram
+    without any) not reached by a root.
     """
     flat = graph.preorder(rows, depth).select("g", "id", "depth", "place")
     roots = F.count(F.when(F.col("parent").isNull(), 1)).over(Window.partitionBy("g"))
     same = F.count("*").over(Window.partitionBy("g", "id"))
     at = rows.withColumns({"roots": roots, "same": same}).join(flat, ["g", "id"], "left")
-    error = first_error((F.col("same") > 1, "duplicate id"), (F.col("roots") != 1, "not one root"), (F.col("place").isNull(), "cycle or unknown parent"))
-    return at.select("g", "id", "parent", "label", "depth", "place", error.alias("error"))
+    deep = F.col("depth") >= depth
+    at = at.withColumn("deepest", F.max("depth").over(Window.partitionBy("g")))
+    unseen = F.col("place").isNull()
+    error = first_error((F.col("same") > 1, "duplicate id"), (F.col("roots") != 1, "not one root"), (deep, "too deep"), (unseen & (F.col("deepest") >= depth), "not reached or below a node that is too deep"), (unseen, "cycle or unknown parent"))
+    return at.select("g", "id", "parent", "label", F.when(~deep, F.col("depth")).alias("depth"), "place", error.alias("error"))
 
 
 def indented(planned: DataFrame, header: str) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import numeric, text
-from loomgraph.operators import folds, fusion, repair
+from loomgraph.operators import evidence, fusion, repair
 from loomgraph.plans import network
 from loomgraph.queries._registry import query
 from loomgraph.sources import corpora, manifest
@@ -126,29 +125,38 @@ def svg_text(spark, sf_dir):
     return p.select("page_id", F.size("texts").alias("texts"), F.element_at("texts", 1).alias("first"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS tier, CAST(round(value) AS BIGINT) % 40 + 1 AS cost FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, tier ORDER BY event_id) AS turn FROM e)
-SELECT user_id, CAST(count(*) FILTER (WHERE tier = 0) AS BIGINT) AS critical, CAST(count(*) AS BIGINT) AS picked FROM r WHERE (tier = 0 AND turn <= 4) OR (tier > 0 AND turn <= 6) GROUP BY user_id""")
+KIND = "CASE event_id % 8 WHEN 0 THEN 'user_edit' WHEN 1 THEN 'arrowhead' WHEN 2 THEN 'line_segment' WHEN 3 THEN 'contour' WHEN 4 THEN 'vector_text' WHEN 5 THEN 'source_crop' WHEN 6 THEN 'ocr_token' ELSE 'vlm_observation' END"
+
+
+def _evidence(spark, sf_dir):
+    kinds = ["user_edit", "arrowhead", "line_segment", "contour", "vector_text", "source_crop", "ocr_token", "vlm_observation"]
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (i % 8 + 1).cast("int"))
+    trust = F.when(i % 11 == 0, "connector").when(i % 13 == 0, "label")
+    return corpora.table(spark, sf_dir, "events").select(F.col("user_id").alias("g"), i.cast("long").alias("index"), kind.alias("kind"), trust.alias("trust"), (F.round("value").cast("long") % 40 + 1).alias("size"))
+
+
+@query(f"""WITH e AS (SELECT user_id AS g, event_id AS index, {KIND} AS kind, CASE WHEN event_id % 11 = 0 THEN 'connector' WHEN event_id % 13 = 0 THEN 'label' END AS trust FROM events),
+r AS (
+  SELECT *, CASE WHEN kind = 'user_edit' THEN 0 WHEN trust = 'connector' THEN 1 WHEN trust = 'label' THEN 2 WHEN kind = 'arrowhead' THEN 3 WHEN kind = 'line_segment' THEN 4 WHEN kind = 'contour' THEN 5
+    WHEN kind = 'vector_text' THEN 6 WHEN kind = 'source_crop' THEN 7 WHEN kind = 'ocr_token' THEN 8 ELSE 9 END AS rank, row_number() OVER (PARTITION BY g, kind ORDER BY index) AS turn FROM e),
+c AS (SELECT g, index FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY rank, index) AS n FROM r WHERE rank < 2) WHERE n <= 2),
+after_c AS (SELECT r.* FROM r LEFT JOIN c USING (g, index) WHERE c.index IS NULL),
+room AS (SELECT g, 20 - count(c.index) AS free FROM (SELECT DISTINCT g FROM r) LEFT JOIN c USING (g) GROUP BY g),
+s AS (SELECT g, index FROM (SELECT a.*, free, row_number() OVER (PARTITION BY g ORDER BY turn, CASE kind WHEN 'arrowhead' THEN 1 WHEN 'line_segment' THEN 2 WHEN 'contour' THEN 3 ELSE 4 END) AS n
+  FROM after_c a JOIN room USING (g) WHERE kind IN ('arrowhead', 'line_segment', 'contour', 'vector_text')) WHERE n <= (free + 3) // 4),
+taken AS (SELECT *, 'critical' AS phase FROM c UNION ALL SELECT *, 'structural' FROM s), used AS (SELECT g, count(*) AS used FROM taken GROUP BY g),
+rest AS (SELECT g, index, row_number() OVER (PARTITION BY g ORDER BY rank, index) AS n FROM r LEFT JOIN taken USING (g, index) WHERE taken.phase IS NULL)
+SELECT g, index, phase FROM taken UNION ALL SELECT rest.g, rest.index, 'ranked' FROM rest LEFT JOIN used USING (g) WHERE n <= 20 - coalesce(used, 0)""")
 def evidence_quota(spark, sf_dir):
-    """Evidence by tier, each with its quota."""
-    tier = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).otherwise(2)
-    e = corpora.table(spark, sf_dir, "events").select("user_id", "event_id", tier.alias("tier"))
-    r = e.withColumn("turn", F.row_number().over(Window.partitionBy("user_id", "tier").orderBy("event_id"))).filter("(tier = 0 and turn <= 4) or (tier > 0 and turn <= 6)")
-    return r.groupBy("user_id").agg(F.count(F.when(F.col("tier") == 0, 1)).alias("critical"), F.count("*").alias("picked"))
+    """Evidence of each observation by quotas: critical, structural kinds in turns, the rest by rank."""
+    return evidence.select(_evidence(spark, sf_dir), most=20, chars=1 << 40).select("g", "index", "phase")
 
 
 @query()
 def evidence_budget(spark, sf_dir):
-    """Evidence in rank order within a budget of characters: what does not fit is skipped, later may fit."""
-    c = corpora.table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") % 3).alias("tier"), "turn", F.char_length("text").cast("long").alias("n"))
-
-    def step(conv, rows):
-        left = 300
-        for tier, turn, n in rows:
-            if n <= left:
-                left -= n
-                yield conv, turn, left
-
-    return folds.fold(c, "conv_id", ["tier", "turn"], step, "conv_id long, turn long, rest long")
+    """The same within 300 characters: what does not fit is passed over, later may fit."""
+    return evidence.select(_evidence(spark, sf_dir), most=20, chars=300, least=5)
 
 
 @query()
@@ -164,16 +172,6 @@ def nfkc_fold(spark, sf_dir):
     return corpora.table(spark, sf_dir, "documents").select("doc_id", text.nfkc_casefold(F.col("text")).alias("folded"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, p_brand || CASE WHEN p_partkey % 4 = 0 THEN '!' ELSE '' END || p_partkey % 40 AS raw FROM part), k AS (SELECT id, trim(regexp_replace(raw, '[^A-Za-z0-9_]', '_', 'g'), '_') AS portable FROM p) SELECT id FROM k WHERE portable IN (SELECT portable FROM k GROUP BY 1 HAVING count(*) > 1)""")
-def ambiguous_ids(spark, sf_dir):
-    """Ids whose portable forms clash."""
-    i = F.col("p_partkey")
-    raw = F.concat(F.col("p_brand"), F.when(i % 4 == 0, "!").otherwise(""), (i % 40).cast("string"))
-    k = corpora.table(spark, sf_dir, "part").select(i.alias("id"), text.portable(raw).alias("portable"))
-    twice = k.groupBy("portable").count().filter("count > 1").select("portable")
-    return k.join(twice, "portable", "left_semi").select("id")
-
-
 @query("""SELECT CAST(p_size AS BIGINT) AS id, CAST(i AS INTEGER) AS tile, CAST(greatest(0, i * 40) AS INTEGER) AS lo, CAST(least(p_size * 10, i * 40 + 50) AS INTEGER) AS hi FROM (SELECT DISTINCT p_size FROM part), generate_series(0, 20) t(i) WHERE i = 0 OR i * 40 + 10 < p_size * 10""")
 def overlapping_tiles(spark, sf_dir):
     """Tiles of 50 that overlap by 10."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.operators import align, bags
+from loomgraph.operators import align, bags, identifiers
 from loomgraph.queries._registry import query
 from loomgraph.sources import corpora
 
@@ -27,11 +27,42 @@ def _sides(spark, sf_dir):
     return rows.filter("side = 'source'"), rows.filter("side = 'generated'")
 
 
-@query(PARTS + " " + _pair("s", "g", "id"))
+NAMED = """
+WITH p AS (SELECT p_partkey % 2 AS side, p_partkey // 2 AS k FROM part),
+named AS (
+  SELECT side, k // 50 AS g, k AS pos,
+    CASE k % 10 WHEN 0 THEN 'x' || k // 10 || ' b' WHEN 1 THEN 'x' || k // 10 || '-b' WHEN 2 THEN 'x' || k // 10 || '_b_2' ELSE 'n' || CASE WHEN side = 1 AND k % 7 = 0 THEN -k ELSE k END END AS id
+  FROM p),
+s AS (SELECT * FROM named WHERE side = 0), o AS (SELECT * FROM named WHERE side = 1),
+t AS (
+  SELECT *, row_number() OVER (PARTITION BY g, base ORDER BY pos) AS turn, count(*) OVER (PARTITION BY g, base) AS n
+  FROM (SELECT *, trim(regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g'), '_') AS base FROM s)),
+u0 AS (SELECT g, id, base || CASE WHEN turn > 1 THEN '_' || turn ELSE '' END AS said FROM t WHERE n > 1),
+u1 AS (SELECT t.g, t.id, t.base || '_2' AS said FROM t JOIN u0 ON t.g = u0.g AND t.id = u0.said WHERE t.n = 1),
+u AS (SELECT * FROM u0 UNION SELECT * FROM u1)"""
+
+
+def _named(spark, sf_dir):
+    """Source and generated records; three ids of each ten share a portable form, the third by what the second becomes."""
+    p = corpora.table(spark, sf_dir, "part").select((F.col("p_partkey") % 2).alias("side"), F.floor(F.col("p_partkey") / 2).cast("long").alias("k"))
+    ten = F.concat(F.lit("x"), F.floor(F.col("k") / 10).cast("string"))
+    other = F.concat(F.lit("n"), F.when((F.col("side") == 1) & (F.col("k") % 7 == 0), -F.col("k")).otherwise(F.col("k")).cast("string"))
+    r = F.col("k") % 10
+    id_ = F.when(r == 0, F.concat(ten, F.lit(" b"))).when(r == 1, F.concat(ten, F.lit("-b"))).when(r == 2, F.concat(ten, F.lit("_b_2"))).otherwise(other)
+    rows = p.select("side", F.floor(F.col("k") / 50).cast("long").alias("g"), F.col("k").alias("pos"), id_.alias("id"))
+    return rows.filter("side = 0"), rows.filter("side = 1")
+
+
+@query(NAMED + " SELECT s.g, s.id AS source_id, s.id AS generated_id FROM s JOIN o ON s.g = o.g AND s.id = o.id WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.g = s.g AND (u.id = s.id OR u.said = s.id))")
 def align_by_id(spark, sf_dir):
-    """Pairs of equal, unambiguous ids."""
-    s, g = _sides(spark, sf_dir)
-    return align.unique_pairs(s.withColumn("key", F.col("id")), g.withColumn("key", F.col("id")), "key")
+    """Pairs of equal ids, without those whose portable forms cannot be told apart."""
+    return align.by_id(*_named(spark, sf_dir), ["pos"])
+
+
+@query(NAMED + " SELECT g, id, 'source' AS side FROM u UNION SELECT g, said, 'emitted' FROM u")
+def ambiguous_ids(spark, sf_dir):
+    """Ids that share a portable form, what they are emitted as, and ids that are called like that."""
+    return identifiers.ambiguous(_named(spark, sf_dir)[0], ["pos"])
 
 
 @query(PARTS + " " + _pair("s", "g", "short"))

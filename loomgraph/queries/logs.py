@@ -48,7 +48,7 @@ def kanban_board(spark, sf_dir):
     """Cards under their columns in order; empty columns stay."""
     cards = corpora.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("col"), F.col("doc_id").alias("pos"))
     cols = spark.createDataFrame([("en", 1), ("de", 2), ("fr", 3), ("es", 4), ("it", 5)], "col string, pos int")
-    return ordered.board(cols, cards).select("col", "pos", "cards", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+    return ordered.board(cols, cards).select("col", "pos", "error", "cards", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
 @query("""SELECT conv_id, CAST(count(*) AS BIGINT) AS messages, CAST(count(DISTINCT role) AS BIGINT) AS participants, bool_and(turn = rn - 1) AS gapless, string_agg(left(role, 1), '>' ORDER BY turn) AS line

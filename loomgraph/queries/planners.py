@@ -106,6 +106,18 @@ def hierarchy_preorder(spark, sf_dir):
     return trees.hierarchy(_tree(spark, sf_dir)).drop("g")
 
 
+@query("""WITH c AS (SELECT c_mktsegment AS g, c_custkey AS id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n, lag(c_custkey) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS parent FROM customer)
+SELECT g, CAST(id AS BIGINT) AS id, CAST(CASE WHEN n <= 64 THEN n - 1 END AS INTEGER) AS depth, CAST(CASE WHEN n <= 64 THEN n END AS INTEGER) AS place,
+  CASE WHEN n = 65 THEN 'too deep' WHEN n > 65 THEN 'not reached or below a node that is too deep' END AS error FROM c""")
+def hierarchy_depth(spark, sf_dir):
+    """Chains: a tree has at most 64 levels, and what is below is an error."""
+    from pyspark.sql import Window
+
+    c = corpora.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("g"), F.col("c_custkey").cast("long").alias("id"))
+    parent = F.lag("id").over(Window.partitionBy("g").orderBy("id"))
+    return trees.hierarchy(c.withColumns({"parent": parent, "pos": F.lit(0), "label": F.lit("x")})).select("g", "id", "depth", "place", "error")
+
+
 @query(TREE + " SELECT 'mindmap' || chr(10) || string_agg(repeat('  ', CAST(depth + 1 AS BIGINT)) || label, chr(10) ORDER BY place) AS code FROM o")
 def mindmap_code(spark, sf_dir):
     """The code of a mind map."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.functions import digest, numeric, temporal, text
+from loomgraph.functions import digest, numeric, security, temporal, text
 from loomgraph.operators import bags
 from loomgraph.queries._registry import query
 from loomgraph.sources import corpora
@@ -134,16 +134,39 @@ def strict_dates(spark, sf_dir):
     return o.select("id", "txt", temporal.parse(F.col("txt"), "YYYY-MM-DD").alias("at"))
 
 
-RULES = {"script": r"(?i)<\s*script", "handler": r"(?i)\bon[a-z]+\s*=", "javascript": r"(?i)javascript:", "iframe": r"(?i)<\s*iframe", "import": r"(?i)@import", "style": r"(?i)<\s*style", "external": r"(?i)(?:href|src)\s*=\s*[\"']?https?://", "nul": r"\x00"}
-RULE_SQL = " UNION ALL ".join(f"SELECT page_id, '{k}' AS rule, line FROM lines WHERE regexp_matches(txt, '{v.replace(chr(39), chr(39) * 2)}')" for k, v in RULES.items() if k != "nul")
+#: The rules again, as DuckDB's regular expressions.
+_NAME, _VALUE = r"[^\s\x00\"''><=/]+", r"(?:\"[^\"]*\"|''[^'']*''|[^\s\"''<=>]+)"
+FOUND = {
+    "directive": r"%%\s*\{", "callback": r"\b(?:call|callback)\s*\(", "external_url": r"(?:https?|ftp|file|data|javascript):", "protocol_relative_url": r"[\"''(=]\s*//[^/\s]",
+    "frontmatter": r"^\s*(?:---|config\s*:)", "css_import": r"@import\b", "remote_icon": r"iconify|fa:|logos:",
+    "html": rf"<!--|<\?|<!doctype(?:\s|>|$)|</[a-z][a-z0-9_:-]*\s*>|<[a-z][a-z0-9_:-]*(?:\s+(?:{_NAME}\s*(?:=\s*{_VALUE}\s*)?)*)?(?:/\s*)?>",
+}
+FOUND_SQL = " UNION ALL ".join(f"SELECT page_id, '{k}' AS rule, line FROM lines WHERE regexp_matches(txt, '(?i){v}')" for k, v in FOUND.items())
 
 
-@query(f"WITH lines AS (SELECT page_id, txt, line FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS txt, generate_subscripts(string_split(html, chr(10)), 1) AS line FROM pages)), f AS ({RULE_SQL}) SELECT page_id, rule, CAST(line AS INTEGER) AS line FROM f")
+@query(f"""WITH lines AS (
+  SELECT page_id, unnest(parts) AS txt, generate_subscripts(parts, 1) AS line
+  FROM (SELECT page_id, string_split_regex(html, '\\r\\n|[\\n\\x0b\\f\\r\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS parts FROM pages WHERE html IS NOT NULL)),
+cut AS (SELECT page_id, line, unnest(string_split(txt, ';')) AS txt FROM lines WHERE NOT regexp_matches(txt, '^\\s*%%'))
+SELECT page_id, rule, CAST(line AS INTEGER) AS line FROM ({FOUND_SQL}
+  UNION ALL SELECT DISTINCT page_id, 'click', line FROM cut WHERE regexp_matches(txt, '(?i)^\\s*click\\s+')
+  UNION ALL SELECT DISTINCT page_id, 'style_syntax', line FROM cut WHERE regexp_matches(txt, '(?i)^\\s*(?:style|classDef|linkStyle)\\b'))""")
 def security_findings(spark, sf_dir):
-    """Lines of markup that break a rule; each line is met by each rule once."""
-    p = corpora.table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("pos", "txt"))
-    broken = F.filter(F.array(*[F.when(F.col("txt").rlike(v), F.lit(k)) for k, v in RULES.items()]), lambda r: r.isNotNull())
-    return p.select("page_id", (F.col("pos") + 1).alias("line"), F.explode(broken).alias("rule"))
+    """Lines of code that break a rule, each rule once a line."""
+    return security.code_findings(corpora.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html").withColumnRenamed("id", "page_id")
+
+
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'script' WHEN 1 THEN 'foreignObject' WHEN 2 THEN 'g onclick' WHEN 3 THEN 'url' WHEN 4 THEN 'nan' ELSE 'none' END AS kind FROM pages)
+SELECT page_id, CASE kind WHEN 'script' THEN 'rendered SVG contains forbidden <script>' WHEN 'foreignObject' THEN 'rendered SVG contains forbidden <foreignObject>' WHEN 'g onclick' THEN 'rendered SVG contains event handler onclick'
+  WHEN 'url' THEN 'rendered SVG contains external CSS' WHEN 'nan' THEN 'rendered SVG contains non-finite geometry attribute x' END AS finding FROM p WHERE kind <> 'none'
+UNION ALL SELECT page_id, 'rendered SVG has no dimensions' FROM p WHERE page_id % 4 = 0""")
+def svg_findings(spark, sf_dir):
+    """What must not be in a rendered SVG: active elements, handlers, styles from outside, sizes that are none."""
+    i = F.col("page_id")
+    parts = ["<script/>", "<foreignObject/>", "<g onclick='a()'/>", "<style>a { fill: url( 'http://x' ) } b { fill: url(#in) }</style>", "<text x='NaN'/>", "<a href='#in'/>"]
+    inner = F.element_at(F.array(*map(F.lit, parts)), (i % 6 + 1).cast("int"))
+    svg = F.concat(F.lit("<svg xmlns='http://www.w3.org/2000/svg'"), F.when(i % 4 == 0, "").otherwise(" viewBox='0 0 1 1'"), F.lit(">"), inner, F.lit("</svg>"))
+    return security.svg_scan(corpora.table(spark, sf_dir, "pages").select("page_id", svg.alias("svg")), "page_id", "svg").withColumnRenamed("id", "page_id")
 
 
 @query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<title>([^<]*)</title>', 1)) AS title, html FROM pages)

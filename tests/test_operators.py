@@ -5,8 +5,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomgraph.functions import geom, numeric, policy, temporal, text
-from loomgraph.operators import align, bags, folds, fusion, gates, graph, repair, review, spatial
+from loomgraph.functions import geom, numeric, policy, security, temporal, text
+from loomgraph.operators import align, bags, folds, fusion, gates, graph, identifiers, repair, review, spatial
 from loomgraph.plans import charts, network, ordered, release, trees
 
 
@@ -48,6 +48,12 @@ def test_too_many_paths_are_unavailable(spark):
     assert not graph.acyclic(edges(spark, *whole)).first().acyclic
 
 
+@pytest.mark.parametrize("most", [2, 1_000_000])
+def test_cycles_whatever_the_size(spark, most):
+    e = edges(spark, *((f"a{i}", f"a{i + 1}") for i in range(9))).unionByName(edges(spark, ("x", "y"), ("y", "z"), ("z", "y"), ("z", "w"), g=2)).unionByName(edges(spark, ("s", "s"), g=3))
+    assert {r.g: (r.nodes, r.acyclic) for r in graph.acyclic(e, most).collect()} == {1: (10, True), 2: (4, False), 3: (1, False)}
+
+
 def test_preorder(spark):
     t = spark.createDataFrame([(1, "r", None, 0, "r"), (1, "b", "r", 2, "b"), (1, "a", "r", 1, "a"), (1, "c", "a", 1, "c"), (1, "x", "y", 0, "x"), (1, "y", "x", 0, "y")], "g long, id string, parent string, pos int, label string")
     rows = {r.id: (r.place, r.depth, r.error) for r in trees.hierarchy(t).collect()}
@@ -55,6 +61,32 @@ def test_preorder(spark):
     assert rows["x"] == (None, None, "cycle or unknown parent")
 
 
+def test_trees_have_64_levels_and_lose_no_node(spark):
+    chain = [(1, f"n{i}", f"n{i - 1}" if i else None, 0, "x") for i in range(100)] + [(2, f"n{i}", f"n{i - 1}" if i else None, 0, "x") for i in range(64)] + [(1, "o", "nobody", 0, "x")]
+    schema = "g long, id string, parent string, pos int, label string"
+    rows = {(r.g, r.id): (r.place, r.depth, r.error) for r in trees.hierarchy(spark.createDataFrame(chain, schema)).collect()}
+    assert len(rows) == len(chain)
+    assert all(rows[2, f"n{i}"] == (i + 1, i, None) for i in range(64)) and rows[1, "n63"] == (64, 63, None)
+    assert rows[1, "n64"] == (None, None, "too deep")
+    assert {rows[1, f"n{i}"][2] for i in range(65, 100)} | {rows[1, "o"][2]} == {"not reached or below a node that is too deep"}
+    assert {r.g for r in trees.mindmap(spark.createDataFrame(chain, schema)).collect()} == {2}
+
+
+def test_ties_and_repeated_ids_in_trees(spark):
+    schema = "g long, id string, parent string, pos int, label string"
+    t = [(1, "r", None, 0, "r"), (1, "b", "r", 1, "b"), (1, "a", "r", 1, "a"), (1, "a1", "a", 5, "a1"), (1, "b1", "b", 1, "b1"), (2, "r", None, 0, "r"), (2, "d", "r", 1, "d"), (2, "d", "d", 2, "d"), (2, "e", "d", 1, "e")]
+    rows = trees.hierarchy(spark.createDataFrame(t, schema)).collect()
+    # children stay under their parent where positions tie
+    assert [r.id for r in sorted((r for r in rows if r.g == 1), key=lambda r: r.place)] == ["r", "a", "a1", "b", "b1"]
+    assert [r.error for r in rows if r.g == 2 and r.id == "d"] == ["duplicate id"] * 2 and [r.place for r in rows if r.id == "e"] == [None]
+
+
+def test_a_million_and_a_half_nodes(spark):
+    t = spark.range(1_500_000).selectExpr("id div 1000 as g", "id % 1000 as n").selectExpr("g", "n as id", "CASE WHEN n > 0 THEN (n - 1) div 4 END as parent", "cast(n as int) as pos")
+    got = graph.preorder(t).agg(F.count("place"), F.max("place"), F.max("depth"), F.countDistinct("g")).first()
+    assert tuple(got) == (1_500_000, 1000, 5, 1500)
+
+
 def test_tree_codes_and_railroads(spark):
     schema = "g long, id string, parent string, pos int, label string"
     t = spark.createDataFrame([(1, "r", None, 0, "top"), (1, "a", "r", 1, "leaf")], schema)
@@ -210,6 +242,10 @@ def test_venn_checks(spark):
     m = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("a", 2), ("b", 2), ("a", 3)], "name string, member long")
     sizes = {tuple(r.sets): r.size for r in charts.venn(m).collect()}
     assert sizes == {("a",): 3, ("b",): 2, ("c",): 1, ("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 1, ("a", "b", "c"): 1}
+    four = spark.createDataFrame([(n, i) for i in range(5) for n in "abcd"[: i + 1]], "name string, member long")
+    whole = {"".join(r.sets): r.size for r in charts.venn(four).collect()}
+    assert len(whole) == 15 and whole["abcd"] == 2 and whole["d"] == 2 and whole["a"] == 5 and whole["bc"] == 3
+    assert {len(r.sets) for r in charts.venn(four, 2).collect()} == {1, 2}
     bad = spark.createDataFrame([(["a"], 2), (["b"], 5), (["a", "b"], 3), (["a", "b", "c"], 1)], "sets array<string>, size long")
     errors = {tuple(r.sets): r.error for r in charts.venn_checks(bad).collect()}
     assert errors[("a", "b")] == "larger than a part of it" and errors[("a", "b", "c")] == "a part is missing"
@@ -223,17 +259,35 @@ def test_wardley_and_radar(spark):
     assert {r.series: r.error for r in charts.radar(spark.createDataFrame(v, "g long, series string, dim int, value double")).collect()} == {"s": None, "t": "a value is missing"}
 
 
-def test_network_suffixes_skip_taken_ids(spark):
-    rows = [(1, "nodes", 1, "a b", None, None), (1, "nodes", 2, "a-b", None, None), (1, "nodes", 3, "a_b_2", None, "hexagon")]
+def test_network_suffixes_follow_what_was_emitted(spark):
+    rows = [(1, "nodes", 1, "a b", None, None), (1, "nodes", 2, "a-b", None, None), (1, "nodes", 3, "a_b_2", None, "hexagon"), (1, "nodes", 4, None, None, None), (1, "nodes", 5, "", "five", None), (1, "nodes", 6, "a b", None, None), (1, "nodes", 7, "--", None, None), (1, "nodes", 8, "7", None, None)]
     k = network.KINDS["state"]
     n = network.nodes(k, spark.createDataFrame(rows, "g long, record string, pos int, id string, label string, role string"))
-    got = {r.id: (r.emitted, r.error) for r in n.collect()}
-    assert got == {"a b": ("a_b", None), "a-b": ("a_b_3", None), "a_b_2": ("a_b_2", "unknown role")}
+    got = {r.pos: (r.id, r.emitted, r.error) for r in n.collect()}
+    twice = "duplicate id"
+    assert got == {1: ("a b", "a_b", twice), 2: ("a-b", "a_b_2", None), 3: ("a_b_2", "a_b_2_2", "unknown role"), 4: ("N4", "N4", None), 5: ("N5", "N5", None), 6: ("a b", "a_b_3", twice), 7: ("--", "N7", None), 8: ("7", "n_7", None)}
+    assert {r.pos: r.label for r in n.collect()}[4] == "N4"
+    n = n.filter("pos < 4")
     e = network.edges(k, spark.createDataFrame([(1, 1, "a b", "a-b", "x", None), (1, 2, "a b", "?", None, None)], "g long, pos int, source string, target string, label string, token string"), n)
     assert {r.target: r.error for r in e.collect()} == {"a-b": None, "?": "unknown target"}
     assert network.lines(k, n, e).count() == 0
     code = network.lines(k, n.withColumn("error", F.lit(None).cast("string")), e.filter("error is null")).first().code
-    assert code == 'stateDiagram-v2\n  a_b["a b"]\n  a_b_3["a-b"]\n  a_b_2["a_b_2"]\n  a_b -->|"x"| a_b_3'
+    assert code == 'stateDiagram-v2\n  a_b["a b"]\n  a_b_2["a-b"]\n  a_b_2_2["a_b_2"]\n  a_b -->|"x"| a_b_2'
+
+
+def test_ambiguous_ids_reach_a_fixed_point(spark):
+    def found(*ids):
+        rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(ids)], "g long, pos int, id string")
+        got = identifiers.ambiguous(rows, ["pos"]).collect()
+        return {r.id for r in got if r.side == "source"}, {r.id for r in got if r.side == "emitted"}
+
+    assert found("a b", "a-b", "a_b_2", "c") == ({"a b", "a-b", "a_b_2"}, {"a_b", "a_b_2", "a_b_2_2"})
+    # through what the third is emitted as, the fourth
+    assert found("a b", "a-b", "a_b_2", "a_b_2_2") == ({"a b", "a-b", "a_b_2", "a_b_2_2"}, {"a_b", "a_b_2", "a_b_2_2", "a_b_2_2_2"})
+    assert found("a_b", "c", "d") == (set(), set()) and found("x", "x")[0] == {"x"}
+    source = spark.createDataFrame([(1, 0, "a b"), (1, 1, "a-b"), (1, 2, "a_b_2"), (1, 3, "c"), (1, 4, None)], "g long, pos int, id string")
+    other = spark.createDataFrame([(1, 0, "a b"), (1, 2, "a_b_2"), (1, 3, "c"), (1, 4, None), (1, 5, "a_b")], "g long, pos int, id string")
+    assert values(align.by_id(source, other, ["pos"])) == [(1, "c", "c")]
 
 
 @pytest.mark.parametrize("name", sorted(network.KINDS))
@@ -276,8 +330,59 @@ def test_review_timeline(spark):
     n = spark.createDataFrame([(1, "a", "A"), (1, "b", "B")], "bundle long, id string, label string")
     e = spark.createDataFrame([(1, "e", "a", "b", None)], "bundle long, id string, source string, target string, label string")
     ops = spark.createDataFrame([(1, 1, "relabel", "a", None, None, "AA"), (1, 2, "delete_node", "b", None, None, None), (1, 3, "add_node", "c", None, None, "C"), (1, 4, "add_edge", "f", "a", "c", "new")], "bundle long, seq long, op string, id string, source string, target string, label string")
-    n2, e2 = review.apply_operations(n, e, ops)
-    assert values(n2, "id", "label") == [("a", "AA"), ("c", "C")] and values(e2, "id", "label") == [("f", "new")]
+    got = review.apply_operations(n, e, ops)
+    assert values(got, "kind", "id", "label") == [("edge", "f", "new"), ("node", "a", "AA"), ("node", "c", "C")]
+
+
+def test_review_operations_meet_the_scene_before_them(spark):
+    n = spark.createDataFrame([(1, "a", "A"), (1, "b", "B"), (2, "a", "other")], "bundle long, id string, label string")
+    e = spark.createDataFrame([(1, "e", "a", "b", "old")], "bundle long, id string, source string, target string, label string")
+    log = [
+        ("relabel", "c", None, None, "too early", None), ("add_node", "c", None, None, "C", None), ("relabel", "c", None, None, "CC", None), ("add_edge", "f", "a", "c", None, None), ("label_edge", "f", None, None, "said", None),
+        ("group", "g", None, None, "G", ["a", "c"]), ("group", "h", None, None, "H", ["b", "c"]), ("reconnect", "e", "c", "b", None, None), ("label_edge", "e", None, None, None, None), ("delete_node", "b", None, None, None, None),
+        ("add_node", "b", None, None, "again", None), ("add_edge", "k", "a", "z", None, None), ("group", "m", None, None, "M", ["b"]), ("delete_node", "a", None, None, None, None), ("ungroup", "g", None, None, None, None), ("group", "p", None, None, "P", ["b", "c"]),
+    ]
+    ops = spark.createDataFrame([(1, i, *r) for i, r in enumerate(log)], "bundle long, seq long, op string, id string, source string, target string, label string, members array<string>")
+    got = review.apply_operations(n, e, ops).collect()
+    assert {(r.bundle, r.kind, r.id, r.label) for r in got if r.kind != "refused"} == {(1, "node", "c", "CC"), (1, "node", "b", "again"), (1, "group", "p", "P"), (2, "node", "a", "other")}
+    assert sorted((r.label, r.id) for r in got if r.kind == "refused") == sorted([("relabel", "c"), ("group", "h"), ("add_edge", "k"), ("group", "m")])
+
+
+def test_code_findings(spark):
+    cases = {
+        "%%{init: {}}%%": {(1, "directive")}, "a\n---\nconfig: x": {(2, "frontmatter"), (3, "frontmatter")}, "click A call()": {(1, "callback"), (1, "click")}, "A[\"//x.org\"]": {(1, "protocol_relative_url")},
+        "A -->|\"<b>\"| B": {(1, "html")}, "A --> B <-- C > D": set(), "a <br/ > b": {(1, "html")}, "<a b='>' c=d>": {(1, "html")}, "<a b='>": set(), "x <!DOCTYPE": {(1, "html")}, "x <!doctypes": set(),
+        "icon fa:fa-x": {(1, "remote_icon")}, "@import 'x'": {(1, "css_import")}, "a\r\nb HTTPS:": {(2, "external_url")}, "ab\0": {(0, "nul_byte")},
+        "stateDiagram-v2\nstate s <<choice>>": set(), "flowchart LR\nstate s <<choice>> ": {(2, "html")} - {(2, "html")}, "stateDiagram\n<x>": {(2, "html")},
+        "flowchart LR\nA[\"x; click B\"]; click C d": {(2, "click")}, "flowchart LR\nA --> B; style A fill:#fff": {(2, "style_syntax")}, "sequenceDiagram\nA: \"x; click B y\"": {(2, "click")}, "%% click A\nclass x": set(),
+        "accTitle: a; click b c": set(), "flowchart LR\naccDescr { a\nclick b c\n}\nclassDef x": {(5, "style_syntax")},
+    }
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)] + [(99, None)], "id long, code string")
+    got = security.code_findings(rows, "id", "code").collect()
+    for i, (code, want) in enumerate(cases.items()):
+        assert {(r.line, r.rule) for r in got if r.id == i} == want, code
+    loose = security.code_findings(rows, "id", "code", strict=False)
+    assert loose.filter("rule = 'style_syntax'").count() == 0 and loose.filter("rule = 'click'").count() > 0
+    # no part of a tag is tried twice
+    import time
+
+    long = spark.createDataFrame([(1, "<a " + "b=" * 20_000), (2, "<a " + "b" * 50_000), (3, "<" * 50_000)], "id long, code string")
+    began = time.time()
+    assert security.code_findings(long, "id", "code").count() == 0 and time.time() - began < 20
+
+
+def test_svg_findings():
+    ok = '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1 1">{}</svg>'
+    find = lambda inner, **kw: security.svg_findings(ok.format(inner), **kw)
+    assert find("<g/>") == [] and find('<a href="#x" style="fill:url(#a)"/>') == []
+    assert find("<script/>") == ["rendered SVG contains forbidden <script>"]
+    assert find("<foreignObject/>") == ["rendered SVG contains forbidden <foreignObject>"] and find("<foreignObject/>", strict=False) == []
+    assert find('<a href="http://x" onClick="y"/>') == ["rendered SVG contains an external href", "rendered SVG contains event handler onclick"]
+    assert find('<g style="fill: URL( \'http://x\' )"/><style>@IMPORT "x"</style>') == ["rendered SVG contains external CSS"]
+    assert find('<rect x="NaN" viewBox="0 Infinity"/>') == ["rendered SVG contains non-finite geometry attribute viewbox", "rendered SVG contains non-finite geometry attribute x"]
+    assert find('<rect class="a task" width="0" height="1"/>', diagram_type=" Gantt ") == ["rendered Gantt contains a non-visible task rectangle"] and find('<rect class="task" width="2" height="1"/>', diagram_type="gantt") == []
+    assert security.svg_findings("<p/>") == ["rendered SVG has no dimensions", "rendered output does not have an SVG root"]
+    assert security.svg_findings("<svg")[0].startswith("rendered output is not XML")
 
 
 def test_folds_stream_over_batches(spark):

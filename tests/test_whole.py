@@ -104,3 +104,55 @@ def test_radar_plan_counts_every_customer(spark):
         top[g] = max(top[g], n)
         dims[g, series] += 1
     assert {(r.g, r.series): (r.dims, r.scale_max) for r in got(spark, "radar_plan")} == {k: (n, top[k[0]]) for k, n in dims.items()}
+
+
+def test_evidence_within_its_budget(spark):
+    """Against the phases written out as one loop over the order of each."""
+    from loomgraph.operators import evidence
+    from loomgraph.queries.evidence import _evidence
+
+    seen = defaultdict(list)
+    for r in sorted(_evidence(spark, SF).collect(), key=lambda r: r["index"]):
+        seen[r.g].append((r["index"], r.kind, r.trust, r["size"]))
+    for most, chars, least, name in ((20, 300, 5, "evidence_budget"), (3, 40, 1, None)):
+        want = set()
+        for g, items in seen.items():
+            rank = {i: (0 if k == "user_edit" else 1 if t == "connector" else 2 if t == "label" else evidence.RANKS[k], i) for i, k, t, _ in items}
+            size = {i: n for i, _, _, n in items}
+            by_rank = sorted(rank, key=rank.get)
+            critical = [i for i in by_rank if rank[i][0] < 2]
+            buckets, turns = {k: [i for i, kind, _, _ in items if kind == k] for k in evidence.STRUCTURAL}, []
+            while any(buckets.values()):
+                turns += [b.pop(0) for b in buckets.values() if b]
+            phase, quota, count, left, taken, done = "critical", min(len(critical), max(1, most // 8)), 0, chars, [], set()
+            ahead = list(critical)
+            while True:
+                if phase != "ranked" and (count >= quota or not ahead):
+                    free = max(0, most - len(taken))
+                    phase, ahead, quota, count = ("structural", list(turns), -(-free // 4), 0) if phase == "critical" else ("ranked", list(by_rank), 0, 0)
+                    continue
+                if phase == "ranked" and (len(taken) >= most or not ahead):
+                    break
+                i = ahead.pop(0)
+                if i in done:
+                    continue
+                done.add(i)
+                comma = bool(taken)
+                if left < least + comma:
+                    break
+                if size[i] + comma <= left:
+                    left -= size[i] + comma
+                    taken.append(i)
+                    count += 1
+                    want.add((g, i, len(taken), phase))
+        rows = got(spark, name) if name else evidence.select(_evidence(spark, SF), most, chars, least).collect()
+        assert {tuple(r) for r in rows} == want
+
+
+def test_kanban_board_names_unknown_columns(spark):
+    from loomgraph.plans import ordered
+
+    columns = spark.createDataFrame([("a", 1), ("b", 2)], "col string, pos int")
+    cards = spark.createDataFrame([(1, "a", 1), (2, "?", 1), (3, "?", 0), (4, None, 1)], "id long, col string, pos int")
+    rows = {(r.col, r.pos, r.error, r.cards, tuple(r.ids)) for r in ordered.board(columns, cards).collect()}
+    assert rows == {("a", 1, None, 1, (1,)), ("b", 2, None, 0, ()), ("?", None, "unknown column", 2, (3, 2)), (None, None, "unknown column", 1, (4,))}
