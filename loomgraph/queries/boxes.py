@@ -67,7 +67,7 @@ def full_page_coverage(spark, sf_dir):
     return b.select("id", F.round(share, 9).alias("coverage"), ((share >= 0.25) & (box[0] <= 4) & (box[1] <= 4)).alias("large"))
 
 
-@query(B + """, g AS (SELECT id, page, x1, y1, x2, y2, x1 + (id % 3 - 1) * 2 * (id % 7) AS u1, y1 + (id % 5 - 2) * (id % 11) AS v1 FROM b WHERE id % 5 = 0),
+@query(B + """, g AS (SELECT id, page, x1, y1, x2, y2, x1 + (id % 3 - 1) * 2 * (id % 7) AS u1, y1 + (id % 5 - 2) * (id % 11) AS v1 FROM b),
 q AS (SELECT a.page, a.id AS a, b.id AS b, a.x1 - b.x1 AS dx, a.y1 - b.y1 AS dy, a.u1 - b.u1 AS du, a.v1 - b.v1 AS dv FROM g a JOIN g b ON a.page = b.page AND a.id < b.id),
 s AS (SELECT page, CASE WHEN abs(dx) > 3 THEN CASE WHEN abs(du) <= 3 THEN 0 ELSE CAST(sign(dx) = sign(du) AS INTEGER) END END AS h, CASE WHEN abs(dy) > 3 THEN CASE WHEN abs(dv) <= 3 THEN 0 ELSE CAST(sign(dy) = sign(dv) AS INTEGER) END END AS v FROM q)
 SELECT page, CAST(count(h) + count(v) AS BIGINT) AS axes, round((coalesce(sum(h), 0) + coalesce(sum(v), 0)) / nullif(count(h) + count(v), 0), 9) AS similarity FROM s GROUP BY page""")

@@ -130,7 +130,7 @@ def candidate_select(spark, sf_dir):
     return k.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("grp", "case_id", "grade")
 
 
-@query("""WITH k AS (SELECT doc_id AS id, doc_id // 12 AS source_id, doc_id % 3 AS method, left(text, 1) AS code FROM documents), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, code ORDER BY method, id) AS d FROM k) WHERE d = 1),
+@query("""WITH k AS (SELECT doc_id AS id, doc_id // 12 AS source_id, doc_id % 3 AS method, text AS code FROM documents), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, code ORDER BY method, id) AS d FROM k) WHERE d = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_id, method ORDER BY id) AS turn FROM u), o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY turn, method) AS place FROM r)
 SELECT source_id, id, CAST(place AS INTEGER) AS place FROM o WHERE place <= 3""")
 def candidate_round_robin(spark, sf_dir):

@@ -33,7 +33,7 @@ def runs_of_true(spark, sf_dir):
 
 @query("""WITH t AS (SELECT l_orderkey AS g, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_quantity) AS BIGINT) AS pos, CAST(l_quantity AS BIGINT) * 86400000 AS ms, l_shipdate FROM lineitem),
 r AS (SELECT g, pos, CASE WHEN pos = 1 THEN CAST(epoch_ms(l_shipdate) AS BIGINT) END AS own, ms FROM t)
-SELECT g, pos, CAST(max(own) OVER (PARTITION BY g) + coalesce(sum(ms) OVER (PARTITION BY g ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms, CAST(max(own) OVER (PARTITION BY g) + sum(ms) OVER (PARTITION BY g ORDER BY pos) AS BIGINT) AS end_ms FROM r WHERE g % 10 = 0""")
+SELECT g, pos, CAST(max(own) OVER (PARTITION BY g) + coalesce(sum(ms) OVER (PARTITION BY g ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms, CAST(max(own) OVER (PARTITION BY g) + sum(ms) OVER (PARTITION BY g ORDER BY pos) AS BIGINT) AS end_ms FROM r""")
 def gantt_schedule(spark, sf_dir):
     """Tasks of which each begins after the one before: start and end through the dependencies."""
     l = corpora.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")  # noqa: E741
@@ -42,8 +42,8 @@ def gantt_schedule(spark, sf_dir):
     return ordered.schedule(t).select("g", "pos", "start_ms", "end_ms")
 
 
-@query("""WITH cards AS (SELECT doc_id AS id, lang AS col, source AS label FROM documents WHERE doc_id % 10 = 0), cols AS (SELECT unnest(['en', 'de', 'fr', 'es', 'it']) AS col, unnest([1, 2, 3, 4, 5]) AS pos)
-SELECT cols.col, CAST(cols.pos AS INTEGER) AS pos, CAST(count(id) AS BIGINT) AS cards, coalesce(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY id), '') AS ids FROM cols LEFT JOIN cards USING (col) GROUP BY 1, 2""")
+@query("""WITH cards AS (SELECT doc_id AS id, lang AS col, source AS label FROM documents), cols AS (SELECT unnest(['en', 'de', 'fr', 'es', 'it']) AS col, unnest([1, 2, 3, 4, 5]) AS pos)
+SELECT coalesce(cols.col, cards.col) AS col, CAST(cols.pos AS INTEGER) AS pos, CASE WHEN cols.col IS NULL THEN 'unknown column' END AS error, CAST(count(id) AS BIGINT) AS cards, coalesce(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY id), '') AS ids FROM cols FULL JOIN cards ON cols.col = cards.col GROUP BY 1, 2, 3""")
 def kanban_board(spark, sf_dir):
     """Cards under their columns in order; empty columns stay."""
     cards = corpora.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("col"), F.col("doc_id").alias("pos"))

@@ -40,9 +40,9 @@ def treemap_rollup(spark, sf_dir):
     return charts.treemap(corpora.tree_leaves(spark, sf_dir), ["region", "nation"], "cents")
 
 
-@query("""WITH m AS (SELECT DISTINCT event_type AS name, user_id AS member FROM events),
-s AS (SELECT name AS sets, 1 AS k, count(*) AS size FROM m GROUP BY 1 UNION ALL SELECT a.name || '&' || b.name, 2, count(*) FROM m a JOIN m b ON a.member = b.member AND a.name < b.name GROUP BY 1
-  UNION ALL SELECT a.name || '&' || b.name || '&' || c.name, 3, count(*) FROM m a JOIN m b ON a.member = b.member AND a.name < b.name JOIN m c ON a.member = c.member AND b.name < c.name GROUP BY 1)
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT event_type AS name, user_id AS member FROM events),
+grown AS (SELECT name AS sets, name AS last, 1 AS k, member FROM m UNION ALL SELECT sets || '&' || m.name, m.name, k + 1, m.member FROM grown JOIN m ON m.member = grown.member AND m.name > grown.last),
+s AS (SELECT sets, k, count(*) AS size FROM grown GROUP BY 1, 2)
 SELECT sets, CAST(k AS INTEGER) AS k, CAST(size AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS error FROM s""")
 def venn_plan(spark, sf_dir):
     """Sizes of sets and of their intersections, checked against each other."""
@@ -68,7 +68,7 @@ def quadrant_plan(spark, sf_dir):
     return charts.quadrant(p.select(F.floor(F.col("p_partkey") / 50).cast("long").alias("g"), F.col("p_name").alias("label"), (F.col("p_size").cast("double") / 50).alias("x"), ((F.col("p_partkey") % 100).cast("double") / 90).alias("y")))
 
 
-@query("""WITH v AS (SELECT n_regionkey AS g, n_name AS series, c_mktsegment AS d, count(*) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 9 < 4 GROUP BY 1, 2, 3), i AS (SELECT *, dense_rank() OVER (PARTITION BY g ORDER BY d) - 1 AS dim FROM v),
+@query("""WITH v AS (SELECT n_regionkey AS g, n_name AS series, c_mktsegment AS d, count(*) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3), i AS (SELECT *, dense_rank() OVER (PARTITION BY g ORDER BY d) - 1 AS dim FROM v),
 s AS (SELECT g, series, count(*) AS dims, max(value) AS top, max_by(value, dim) AS v, max(dim) AS dm FROM i GROUP BY 1, 2), w AS (SELECT *, max(dims) OVER (PARTITION BY g) AS need, max(top) OVER (PARTITION BY g) AS scale_max FROM s)
 SELECT CAST(g AS INTEGER) AS g, series, CAST(dims AS BIGINT) AS dims, CAST(scale_max AS BIGINT) AS scale_max, CASE WHEN need < 3 THEN 'too few dimensions' WHEN dims <> need THEN 'a value is missing' END AS error,
   round(0.5 + v / scale_max * 0.5 * cos(2 * pi() * dm / need - pi() / 2), 6) AS last_x, round(0.5 + v / scale_max * 0.5 * sin(2 * pi() * dm / need - pi() / 2), 6) AS last_y FROM w""")
