@@ -33,6 +33,12 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:x-page:"
 READ = 1 << 20
+#: Bytes that a record may have before it is known to be whole.
+HOLD = 16 << 20
+#: Bytes from which on an archive is closed and another begun.
+ROLL = 1 << 30
+#: Payloads that occur twice are sent to all tasks up to so many rows, some 10 MB.
+SENT_ROWS = 200_000
 OUT = "kind string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, file string, begin long, end long, reason string"
 
 
@@ -40,9 +46,9 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, response: int | None, sha1: str | None = None) -> bytes:
-    """A WARC record; ``response``: the page that a revisit refers to."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str | None, payload: bytes, response: int | None, sha1: str | None = None, size: int | None = None) -> bytes:
+    """A WARC record; ``response``: the page that a revisit refers to, whose payload may be left out if its digest and ``size`` are given."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if size is None else size}\r\n\r\n".encode()
     block = http + payload if response is None else http
     head = ["WARC/1.1", f"WARC-Type: {'response' if response is None else 'revisit'}", f"WARC-Record-ID: <{ID}{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
@@ -96,7 +102,7 @@ def parse(data: bytes) -> dict:
 
 
 class Tape:
-    """A stream of which a window is held, from ``base`` on."""
+    """A file of which a window is held, from ``base`` on; what was dropped is read again if it is asked for."""
 
     def __init__(self, stream):
         self.stream, self.held, self.base, self.over = stream, bytearray(), 0, False
@@ -107,23 +113,32 @@ class Tape:
         self.held += data
         return not self.over
 
+    def back(self, at: int) -> None:
+        if at < self.base:
+            self.stream.seek(at)
+            self.held, self.base, self.over = bytearray(), at, False
+
     def have(self, at: int, n: int) -> bytes:
+        self.back(at)
         while at + n - self.base > len(self.held) and self.more():
             pass
         return bytes(self.held[at - self.base : at - self.base + n])
 
     def find(self, what: bytes, at: int) -> int:
+        """Where ``what`` is next, or -1; what was searched is dropped."""
+        self.back(at)
         while True:
             i = self.held.find(what, at - self.base)
             if i >= 0:
                 return self.base + i
             at = max(at, self.base + len(self.held) - len(what) + 1)
+            self.drop(at)
             if not self.more():
                 return -1
 
     def end(self) -> int:
         while self.more():
-            pass
+            self.drop(self.base + len(self.held))
         return self.base + len(self.held)
 
     def drop(self, at: int) -> None:
@@ -133,34 +148,62 @@ class Tape:
 
 
 def _inflate(tape: Tape, at: int, most: int | None = None) -> tuple[bytes, int]:
-    """The member at ``at`` and where it ends; with ``most`` its first bytes only."""
-    unpack, parts, place, step = zlib.decompressobj(31), [], at, 1 << 14
-    try:
-        while not unpack.eof:
-            data = tape.have(place, step)
-            if not data:
-                raise Damage("member ends early")
-            parts.append(unpack.decompress(data, most or 0))
-            if most and parts[-1]:
-                return parts[-1], place
-            place += len(data)
-            step = min(2 * step, READ)
-    except zlib.error as e:
-        raise Damage(f"member does not inflate: {str(e)[:60]}") from None
-    return b"".join(parts), place - len(unpack.unused_data)
+    """The member at ``at`` and where it ends; with ``most`` its first bytes only.
+
+    What inflates to more than HOLD bytes is first worked through without being held, and held if it is whole.
+    """
+    for hold in (False, True):
+        unpack, parts, size, place, step = zlib.decompressobj(31), [], 0, at, 1 << 14
+        try:
+            while not unpack.eof:
+                data = unpack.unconsumed_tail or tape.have(place, step)
+                if not data:
+                    raise Damage("member ends early")
+                before = len(unpack.unconsumed_tail)
+                out = unpack.decompress(data, most or READ)
+                place += 0 if before else len(data)
+                if most and out:
+                    return out, place
+                size += len(out)
+                if hold or size <= HOLD:
+                    parts.append(out)
+                else:
+                    parts.clear()
+                    tape.drop(place)
+                step = min(2 * step, READ)
+        except zlib.error as e:
+            raise Damage(f"member does not inflate: {str(e)[:60]}") from None
+        if hold or size <= HOLD:
+            return b"".join(parts), place - len(unpack.unused_data)
+    raise AssertionError
 
 
 def _plain(tape: Tape, at: int) -> tuple[bytes, int]:
+    """The record at ``at`` and where it ends.  One that says it has more than HOLD bytes is worked through first, and
+    held only if it ends as it says and its block has the digest that it tells."""
     if tape.have(at, 7) != b"WARC/1.":
         raise Damage("no version line")
-    stop = tape.find(b"\r\n\r\n", at)
-    if stop < 0 or stop - at > READ:
+    head = tape.have(at, READ)
+    stop = head.find(b"\r\n\r\n")
+    if stop < 0:
         raise Damage("header without end")
-    head = tape.have(at, stop - at)
-    size = next((x.split(b":")[1].strip() for x in head.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), b"")
+    fields = {x.split(b":", 1)[0].strip().lower(): x.split(b":", 1)[1].strip() for x in head[:stop].split(b"\r\n")[1:] if b":" in x}
+    size = fields.get(b"content-length", b"")
     if not size.isdigit():
         raise Damage("length missing")
-    n = stop + 8 + int(size) - at
+    n = stop + 8 + int(size)
+    if n > HOLD:
+        sha, place, left = hashlib.sha1(), at + stop + 4, int(size)
+        while left:
+            data = tape.have(place, min(left, READ))
+            if not data:
+                raise Damage("record ends early")
+            sha.update(data)
+            place, left = place + len(data), left - len(data)
+            tape.drop(place)
+        told = fields.get(b"warc-block-digest")
+        if tape.have(place, 4) != b"\r\n\r\n" or told not in (None, b"sha1:" + base64.b32encode(sha.digest())):
+            raise Damage("length differs" if told is None else "block digest differs")
     data = tape.have(at, n)
     if len(data) < n:
         raise Damage("record ends early")
@@ -202,41 +245,52 @@ def salvage(stream) -> Iterator[dict]:
 
 
 def with_roles(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html, sha1 and ``response``: the page to refer to, null for responses.
+    """page_id, url, html (null in revisits), sha1, size and ``response``: the page to refer to, null for responses.
 
-    Copies are counted before the shuffle; only payloads that occur twice come back to the pages.
+    Copies are counted by digest before the shuffle.  Payloads that occur twice are sent to the pages if they are few, and no
+    payload is shuffled; else they meet by digest, where Spark splits a payload that very many pages have.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.unhex(F.sha1(html)).alias("sha1"), F.octet_length(html).alias("size"))
     twice = rows.filter(F.col("size") >= least).groupBy("sha1", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha1", "size", "first")
+    twice = written(twice, "twice")
+    if twice.count() <= SENT_ROWS:
+        twice = F.broadcast(twice)
     joined = rows.join(twice, ["sha1", "size"], "left")
     response = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    # the payload of a revisit is not written, so it need not travel further
-    return joined.select("page_id", "url", "html", "sha1", response.alias("response"))
+    # the payload of a revisit is not written: its length is all that the record needs
+    return joined.withColumn("response", response).select("page_id", "url", F.when(F.col("response").isNull(), F.col("html")).alias("html"), "sha1", "size", "response")
 
 
-def write(pages: DataFrame, folder: str | None = None, packed: bool = True, least: int = 0) -> DataFrame:
-    """Writes the archives; gives file, bytes, records of each."""
+def write(pages: DataFrame, folder: str | None = None, packed: bool = True, least: int = 0, roll: int = ROLL) -> DataFrame:
+    """Writes the archives, of about ``roll`` bytes at most; gives file, bytes, records of each."""
     spark = pages.sparkSession
     ready(spark)
     folder = folder or new_folder(spark, "warc")
 
+    def done(name, size, n):
+        return pa.RecordBatch.from_pydict({"file": [name], "bytes": pa.array([size], pa.int64()), "records": pa.array([n], pa.int64())})
+
     def put(batches):
         out, name, size, n = None, "", 0, 0
         for batch in batches:
-            for page, url, html, sha1, response in zip(*[c.to_pylist() for c in batch.columns]):
+            for page, url, html, sha1, length, response in zip(*batch.columns):
                 if out is None:
                     system, top = store(folder)
                     system.create_dir(top, recursive=True)
-                    name = f"{folder}/pages-{uuid.uuid4().hex}.warc{'.gz' * packed}"
+                    name, size, n = f"{folder}/pages-{uuid.uuid4().hex}.warc{'.gz' * packed}", 0, 0
                     out = system.open_output_stream(f"{top}/{name.rpartition('/')[2]}", compression=None)
-                data = record(page, url, html.encode(), response, base64.b32encode(sha1).decode())
+                data = record(page.as_py(), url.as_py(), (html.as_py() or "").encode(), response.as_py(), base64.b32encode(sha1.as_py()).decode(), length.as_py())
                 data = member(data) if packed else data
                 out.write(data)
                 size, n = size + len(data), n + 1
+                if size >= roll:
+                    out.close()
+                    out = None
+                    yield done(name, size, n)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "bytes": pa.array([size], pa.int64()), "records": pa.array([n], pa.int64())})
+            yield done(name, size, n)
 
     return written(with_roles(pages, least).mapInArrow(put, "file string, bytes long, records long"), "archives")
 
@@ -253,7 +307,7 @@ def read(spark: SparkSession, archives: DataFrame, payloads: bool = False) -> Da
             for name in batch.column(0).to_pylist():
                 system, path = store(name)
                 rows, held = [], 0
-                with system.open_input_stream(path, compression=None) as stream:
+                with system.open_input_file(path) as stream:
                     for found in salvage(stream):
                         if not payloads:
                             found["payload"] = None

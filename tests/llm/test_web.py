@@ -75,6 +75,58 @@ def test_salvage(packed, harm):
     assert edges[0][0] == 0 and edges[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(edges, edges[1:]))
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_salvage_holds_little(packed, tmp_path):
+    """A length that leads past everything, and a long damaged tail: what is held does not grow with them."""
+    import os
+    import tracemalloc
+
+    good = [warc.record(i, None, b"x" * 2000, None) for i in range(3)]
+    bad = warc.record(7, None, b"y" * 2000, None).replace(b"Content-Length: 2", b"Content-Length: 900000002")
+    parts = [warc.member(r) if packed else r for r in (good[0], bad, good[1])]
+    path = tmp_path / "a.warc"
+    with open(path, "wb") as f:
+        f.write(b"".join(parts))
+        noise = os.urandom(1 << 20)
+        for _ in range(200):
+            f.write(noise)
+        f.write(warc.member(good[2]) if packed else b"\r\n\r\n" + good[2])
+        for _ in range(50):
+            f.write(noise)
+    tracemalloc.start()
+    with open(path, "rb") as f:
+        found = list(warc.salvage(f))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    assert [r["page_id"] for r in found if r["kind"] == "record"] == [0, 1, 2]
+    edges = sorted((r["begin"], r["end"]) for r in found)
+    assert edges[0][0] == 0 and edges[-1][1] == path.stat().st_size and all(a[1] == b[0] for a, b in zip(edges, edges[1:]))
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_large_records_are_read_whole(packed, monkeypatch):
+    monkeypatch.setattr(warc, "HOLD", 1000)
+    monkeypatch.setattr(warc, "READ", 512)
+    parts = [warc.record(i, None, bytes(range(256)) * 40, None) for i in range(3)]
+    hurt = bytearray(parts[1])
+    hurt[-500] ^= 1
+    for middle, want in ((parts[1], [0, 1, 2]), (bytes(hurt), [0, 2])):
+        data = b"".join(warc.member(p) if packed else p for p in (parts[0], middle, parts[2]))
+        assert [r["page_id"] for r in warc.salvage(io.BytesIO(data)) if r["kind"] == "record"] == want
+
+
+def test_archives_roll_and_copies_travel_either_way(spark, pages, monkeypatch):
+    want = None
+    for sent in (warc.SENT_ROWS, -1):
+        monkeypatch.setattr(warc, "SENT_ROWS", sent)
+        archives = warc.write(pages.coalesce(1), roll=20_000)
+        assert archives.count() > 3 and archives.filter("records > 1").agg(F.max("bytes")).first()[0] < 200_000
+        rows = sorted(map(str, warc.read(spark, archives).drop("file", "begin", "end").collect()))
+        assert want in (None, rows)
+        want = rows
+
+
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
