@@ -95,24 +95,30 @@ def pieces(text: str, table: np.ndarray) -> list[str]:
 
 
 class Memo:
-    """What pre-tokens encode to, in two generations so that its size stays bounded.
+    """What pre-tokens encode to, in two generations, so that what it weighs stays bounded; long ones are not kept.
 
-    ``solve`` takes a list of pre-tokens and gives their values.
+    ``solve`` takes a list of pre-tokens and gives their values.  ``room``: bytes of a generation, as it is reckoned;
+    ``longest``: code points of a pre-token that is kept from one call to the next.
     """
 
-    def __init__(self, solve, cap: int = 300_000, fixed: dict | None = None):
-        self.solve, self.cap = solve, cap
+    def __init__(self, solve, room: int = 48 << 20, fixed: dict | None = None, longest: int = 64):
+        self.solve, self.room, self.longest = solve, room, longest
         self.fixed = fixed or {}
         self.young: dict = dict(self.fixed)
         self.old: dict = {}
+        self.weight = 0
+        self.brief: list[str] = []
 
     def learn(self, found: list[str]) -> None:
-        """Afterwards ``young`` has every pre-token of ``found``."""
+        """Afterwards, until the next call, ``young`` has every pre-token of ``found``."""
+        for p in self.brief:
+            del self.young[p]
         new = set(found).difference(self.young)
+        self.brief = [p for p in new if len(p) > self.longest]
         if not new:
             return
-        if len(self.young) + len(new) > self.cap + len(self.fixed) and len(self.young) > len(self.fixed):
-            self.old, self.young = self.young, dict(self.fixed)
+        if self.weight > self.room:
+            self.old, self.young, self.weight = self.young, dict(self.fixed), 0
             new = set(found).difference(self.young)
         old, young, miss = self.old, self.young, []
         for p in new:
@@ -123,3 +129,5 @@ class Memo:
                 young[p] = v
         if miss:
             young.update(zip(miss, self.solve(miss)))
+        # a key and its value, with what Python has for each
+        self.weight += sum(160 + 2 * len(p) for p in new) - sum(160 + 2 * len(p) for p in self.brief)

@@ -63,16 +63,37 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def id_bounds(df: DataFrame, key: str, n: int) -> list[int]:
+def id_bounds(df: DataFrame, key: str, n: int, cells: int = 1 << 14) -> list[int]:
     """Up to n - 1 distinct values of ``key`` that cut its rows into about equal ranges.
 
-    Only the key column is read, and the quantile sketches meet on the driver: n numbers.
+    Rows are counted by cells of equal width, before the shuffle too, and cells that have more than a range's share once more
+    by finer ones; to the driver come the counts and least values of a bounded number of cells.
     """
-    if n <= 1:
+    lean = df.select(F.col(key).cast("long").alias("k")).filter("k is not null")
+    lo, hi, rows = lean.agg(F.min("k"), F.max("k"), F.count("*")).first()
+    if n <= 1 or not rows:
         return []
-    cut = F.percentile_approx(key, F.array(*[F.lit(i / n) for i in range(1, n)]), 100 * n)
-    got = df.select(F.col(key).cast("long").alias(key)).agg(cut.alias("c")).first()["c"]
-    return sorted(set(got or []))
+    cells = max(cells, 4 * n)
+
+    def counted(part: DataFrame, lo: int, hi: int) -> list[tuple[int, int]]:
+        # the place of a cell grows with the key, also where doubles are coarse
+        place = F.floor((F.col("k").cast("double") - float(lo)) / max(1.0, (float(hi) - float(lo) + 1) / cells))
+        return sorted((r["least"], r["count"]) for r in part.groupBy(place.alias("p")).agg(F.min("k").alias("least"), F.count("*").alias("count")).collect())
+
+    found = counted(lean, lo, hi)
+    ends = [x for x, _ in found[1:]] + [hi + 1]
+    fine = []
+    for (least, count), end in zip(found, ends):
+        wide = count > rows / n and end - least > 1
+        fine += counted(lean.filter(F.col("k").between(least, end - 1)), least, end - 1) if wide else [(least, count)]
+    bounds, before = [], 0
+    for least, count in fine:
+        # a range begins with the first cell after each share
+        if before and before * n // rows > (before - last) * n // rows:
+            bounds.append(least)
+        last = count
+        before += count
+    return bounds
 
 
 def range_of(key: str, bounds: list[int]):

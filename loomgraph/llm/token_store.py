@@ -36,7 +36,6 @@ from pyspark.sql import types as T
 from loomgraph.llm import _pretok
 from loomgraph.llm._shared import id_bounds, new_folder, partitions, range_of, ready, store, written
 from loomgraph.llm.bpe import _slices
-from loomgraph.llm.token_counts import split_special
 
 MARK = b"LGTK"
 HEAD = "<4sHHQ"
@@ -222,7 +221,8 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None, sh
     spark = docs.sparkSession
     ready(spark)
     folder = folder or new_folder(spark, "tokens")
-    shards = shards or partitions(spark)
+    # so many that an index bucket, which one task holds, has some 500,000 documents
+    shards = shards or max(partitions(spark), -(-docs.count() // 500_000))
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
     bounds = id_bounds(docs, "doc_id", shards)
     table = spark.sparkContext.broadcast(_pretok.tokenizers_classes())

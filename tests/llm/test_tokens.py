@@ -142,3 +142,38 @@ def test_store_refuses_foreign_keys(spark, documents):
 def test_empty_store(spark, empty):
     stored = token_store.write(empty, JSON, 2)
     assert token_store.read(spark, stored, empty.select("doc_id")).count() == 0
+
+
+def test_memo_holds_a_bounded_weight():
+    from loomgraph.llm._pretok import Memo
+
+    memo = Memo(lambda found: [p.upper() for p in found], room=50_000, fixed={"a": "A"})
+    for i in range(300):
+        found = [f"w{i}-{j}" for j in range(20)] + ["a", "x" * 5000 + str(i), "again"]
+        memo.learn(found)
+        assert all(memo.young[p] == p.upper() for p in found)
+        assert sum(len(p) > memo.longest for p in memo.young) == 1 and not any(len(p) > memo.longest for p in memo.old if p not in memo.brief[:1] and len(p) > 6000)
+        assert len(memo.young) + len(memo.old) < 900
+
+
+def test_special_strings_are_found_longest_first():
+    from loomgraph.llm.token_counts import split_special
+
+    special = ["<|a|>", "<|a|><|b|>"]
+    assert split_special("x<|a|><|b|>y<|a|>z", special) == ["x", "y", "z"]
+    assert split_special("<|a|><|a|><|b|>", special) == ["", "", ""] and split_special("none", special) == ["none"] and split_special("", []) == [""]
+
+
+def test_bounds_cut_ids_evenly(spark):
+    from loomgraph.llm._shared import id_bounds
+
+    cases = [list(range(1000)), [0] * 500 + list(range(500)), [2**62 + i for i in range(900)] + [5], [-(2**63), 2**63 - 1, 0, 7], [3] * 40, [None] * 5, [None, 1, 2]]
+    for ids in cases:
+        df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        real = sorted(i for i in ids if i is not None)
+        for n in (1, 4, 9):
+            bounds = id_bounds(df, "doc_id", n)
+            assert bounds == sorted(set(bounds)) and len(bounds) < n and set(bounds) <= set(real) and (not bounds or bounds[0] > real[0])
+            if len(set(real)) == len(real) >= 900 and max(real) < 2**53:
+                sizes = [sum(a <= i < b for i in real) for a, b in zip([real[0], *bounds], [*bounds, real[-1] + 1])]
+                assert len(sizes) == n and max(sizes) < 1.5 * len(real) / n
