@@ -353,7 +353,7 @@ def test_code_findings(spark):
         "%%{init: {}}%%": {(1, "directive")}, "a\n---\nconfig: x": {(2, "frontmatter"), (3, "frontmatter")}, "click A call()": {(1, "callback"), (1, "click")}, "A[\"//x.org\"]": {(1, "protocol_relative_url")},
         "A -->|\"<b>\"| B": {(1, "html")}, "A --> B <-- C > D": set(), "a <br/ > b": {(1, "html")}, "<a b='>' c=d>": {(1, "html")}, "<a b='>": set(), "x <!DOCTYPE": {(1, "html")}, "x <!doctypes": set(),
         "icon fa:fa-x": {(1, "remote_icon")}, "@import 'x'": {(1, "css_import")}, "a\r\nb HTTPS:": {(2, "external_url")}, "ab\0": {(0, "nul_byte")},
-        "stateDiagram-v2\nstate s <<choice>>": set(), "flowchart LR\nstate s <<choice>> ": {(2, "html")} - {(2, "html")}, "stateDiagram\n<x>": {(2, "html")},
+        "stateDiagram-v2\nstate s <<choice>>": set(), "flowchart LR\nstate s <<choice>> ": {(2, "html")}, "stateDiagram\n<x>": {(2, "html")},
         "flowchart LR\nA[\"x; click B\"]; click C d": {(2, "click")}, "flowchart LR\nA --> B; style A fill:#fff": {(2, "style_syntax")}, "sequenceDiagram\nA: \"x; click B y\"": {(2, "click")}, "%% click A\nclass x": set(),
         "accTitle: a; click b c": set(), "flowchart LR\naccDescr { a\nclick b c\n}\nclassDef x": {(5, "style_syntax")},
     }
