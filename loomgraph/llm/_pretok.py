@@ -101,7 +101,7 @@ class Memo:
     ``longest``: code points of a pre-token that is kept from one call to the next.
     """
 
-    def __init__(self, solve, room: int = 48 << 20, fixed: dict | None = None, longest: int = 64):
+    def __init__(self, solve, room: int = 64 << 20, fixed: dict | None = None, longest: int = 4096):
         self.solve, self.room, self.longest = solve, room, longest
         self.fixed = fixed or {}
         self.young: dict = dict(self.fixed)

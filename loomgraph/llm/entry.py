@@ -30,7 +30,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mixture of the corpus's size with 95 % of the most entropy, at most 4 rounds a source."""
+    """A mixture of the corpus's size with 99.9 % of the most entropy, at most 4 rounds a source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mixture(docs, mixing.Target()).select("doc_id", "source", "n_tokens", "round", "place", F.round("exponent", 6).alias("exponent"), F.round("weight", 8).alias("weight"))
 
@@ -54,7 +54,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 4-word shingles, linked at 4 or fewer differing bits."""
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.Plan(words=4, bits=4, seed=42))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.Plan(words=4, seed=42, cuts=3, limit=4))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -114,26 +114,23 @@ _URLS = f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN trans
 SELECT page_id, host, path, {_RULE} AS rule, coalesce({_KIND}, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.2 THEN 'block' ELSE 'allow' END) AS verdict FROM u JOIN rate USING (host)"""
 
 _Z = "list_sum(list_transform(n, lambda x: pow(x / total, a)))"
-_ENTROPY = f"list_sum(list_transform(n, lambda x: -(pow(x / total, a) / {_Z} * ln(pow(x / total, a) / {_Z}))))"
+_WEIGHTS = f"list_transform(n, lambda x: pow(x / total, a) / {_Z})"
+_ENTROPY = f"list_sum(list_transform({_WEIGHTS}, lambda w: -w * ln(w)))"
 _WORST = f"list_max(list_transform(n, lambda x: pow(x / total, a) / {_Z} / (x / total)))"
-
-
-def _bisect(name: str, small: str) -> str:
-    """SQL of a table of halvings of [0, 8] by the condition that the exponent ``a`` is too small."""
-    return f"""{name} AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(8 AS DOUBLE) AS hi UNION ALL
-    SELECT i + 1, CASE WHEN {small} THEN a ELSE lo END, CASE WHEN {small} THEN hi ELSE a END FROM (SELECT *, (lo + hi) / 2 AS a FROM {name}, one WHERE i < 60))"""
-
-
 _DRAW = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
-_MIX = f"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(text, '\\S+')) AS n_tokens, {_DRAW.format("'mix:block:' || doc_id")} % 1024 AS block, {_DRAW.format("'mix:turn:' || doc_id")} AS turn FROM documents),
-  t AS (SELECT source, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY 1 HAVING sum(n_tokens) > 0), one AS (SELECT list_sort(list(tokens)) AS n, sum(tokens) AS total FROM t),
-  {_bisect('by_entropy', f"{_ENTROPY} > CAST(0.95 AS DOUBLE) * ln(CAST(len(n) AS DOUBLE))")}, {_bisect('by_repeats', f"{_WORST} > 4.0")},
-  start AS (SELECT CASE WHEN len(n) > 1 THEN (SELECT hi FROM by_entropy WHERE i = 60) ELSE 1.0 END AS a, n, total FROM one),
-  chosen AS (SELECT CASE WHEN {_WORST} <= 4.0 THEN a WHEN a < 1 THEN least(1.0, (SELECT hi FROM by_repeats WHERE i = 60)) ELSE 1.0 END AS a, n, total FROM start),
+#: Halvings of [0, 1]: the exponent is too small while some source has over 4 rounds or the entropy is over the target.
+_MIX = f"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(text, '\\S+')) AS n_tokens, {_DRAW.format("'mix:block:' || doc_id")} AS deal, {_DRAW.format("'mix:turn:' || doc_id")} AS turn FROM documents),
+  every AS (SELECT source, sum(n_tokens) AS tokens, greatest(16, CAST(ceil(sqrt(CAST(sum(n_tokens) AS DOUBLE)) / 32) AS BIGINT)) AS blocks FROM d GROUP BY 1),
+  t AS (SELECT source, CAST(tokens AS DOUBLE) AS tokens FROM every WHERE tokens > 0), one AS (SELECT list_sort(list(tokens)) AS n, sum(tokens) AS total FROM t),
+  halved AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi UNION ALL
+    SELECT i + 1, CASE WHEN small THEN a ELSE lo END, CASE WHEN small THEN hi ELSE a END
+    FROM (SELECT *, {_WORST} > 4.0 OR {_ENTROPY} > CAST(0.999 AS DOUBLE) * ln(CAST(len(n) AS DOUBLE)) + 1e-9 AS small FROM (SELECT *, (lo + hi) / 2 AS a FROM halved, one WHERE i < 50))),
+  chosen AS (SELECT CASE WHEN len(n) > 1 THEN (SELECT hi FROM halved WHERE i = 50) ELSE 1.0 END AS a, n, total FROM one),
   w AS (SELECT source, tokens, a AS exponent, pow(tokens / total, a) / {_Z} AS weight, CAST(floor(round(pow(tokens / total, a) / {_Z} * total, 3)) AS BIGINT) AS budget FROM t, chosen),
-  b AS (SELECT d.source, block, sum(n_tokens) AS bt, {_DRAW.format("'mix:order:s' || d.source || ':' || block")} AS at_ FROM d GROUP BY 1, 2),
+  dealt AS (SELECT d.*, deal % blocks AS block FROM d JOIN every USING (source)),
+  b AS (SELECT source, block, sum(n_tokens) AS bt, {_DRAW.format("'mix:order:s' || source || ':' || block")} AS at_ FROM dealt GROUP BY 1, 2),
   p AS (SELECT b.*, exponent, weight, coalesce(budget // CAST(tokens AS BIGINT), 1) AS whole, coalesce(budget - budget // CAST(tokens AS BIGINT) * CAST(tokens AS BIGINT), 0) AS rest, row_number() OVER o - 1 AS place, sum(bt) OVER o AS upto FROM b LEFT JOIN w USING (source) WINDOW o AS (PARTITION BY b.source ORDER BY at_, block)),
-  c AS (SELECT d.*, p.whole, p.place, p.exponent, p.weight, p.upto <= p.rest AS all_, p.upto > p.rest AND p.upto - p.bt < p.rest AND sum(n_tokens) OVER (PARTITION BY d.source, d.block ORDER BY turn, doc_id) <= p.rest - p.upto + p.bt AS fits FROM d JOIN p USING (source, block))
+  c AS (SELECT dealt.*, p.whole, p.place, p.exponent, p.weight, p.rest > 0 AND p.upto <= p.rest AS all_, p.upto > p.rest AND p.upto - p.bt < p.rest AND sum(n_tokens) OVER (PARTITION BY dealt.source, dealt.block ORDER BY turn, doc_id) <= p.rest - p.upto + p.bt AS fits FROM dealt JOIN p USING (source, block))
 SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(unnest(range(whole + CAST(all_ OR fits AS INTEGER))) AS INTEGER) AS round, CAST(place AS INTEGER) AS place, round(exponent, 6) AS exponent, round(weight, 8) AS weight FROM c"""
 
 #: The others encode, hash by chunk, train or follow links; tests hold them against plain versions.

@@ -44,17 +44,23 @@ def test_one_of_each_group_stays(steps):
     kept = {d: before[d] for d in after}
     for d in set(before) - after:
         best = max(len(before[d] & s) / len(before[d] | s) for e, s in before.items() if e != d)
-        assert best > 0.6, d
+        assert best >= 0.8, d
     sets = Counter(kept.values())
     assert max(sets.values()) == 1
-    loose = [d for d in after if any(e != d and len(kept[d] & s) / len(kept[d] | s) >= 0.9 for e, s in kept.items())]
+    loose = [d for d in after if any(e != d and len(kept[d] & s) / len(kept[d] | s) >= 0.8 for e, s in kept.items())]
     assert not loose
 
 
 def test_mixture_keeps_every_document(steps):
-    before, after = ([r.doc_id for r in d.select("doc_id").collect()] for d in steps[2:4])
-    times = Counter(after)
-    assert set(times) == set(before) and max(times.values()) <= 3
+    """Every document stays, none comes over twice, and sources are more alike than before."""
+    before, after = (d.select("doc_id", "source", "text").collect() for d in steps[2:4])
+    times = Counter(r.doc_id for r in after)
+    assert set(times) == {r.doc_id for r in before} and max(times.values()) <= 2 and len(after) > len(before)
+    tokens = [Counter() for _ in range(2)]
+    for t, rows in zip(tokens, (before, after)):
+        for r in rows:
+            t[r.source] += len(r.text.split())
+    assert min(tokens[1].values()) / max(tokens[1].values()) > min(tokens[0].values()) / max(tokens[0].values())
 
 
 def test_ids_decode(steps):
