@@ -52,6 +52,8 @@ class Plan:
     ``similarity``: links are candidates only, and hold if the sets of shingles have this Jaccard similarity (None:
     they hold); fingerprints are then made of the set, else of all shingles with repeats.
     ``sure``: candidates so near that a row they lead to need not be held against others under that signature.
+    ``lead``: segments whose links are proven and joined first, so that under the others only pairs of different
+    components are candidates (0: all at once).
     """
 
     words: int = 4
@@ -62,6 +64,7 @@ class Plan:
     block: int = 20_000
     similarity: float | None = None
     sure: int = 0
+    lead: int = 0
 
     @property
     def segments(self) -> list[tuple[int, int]]:
@@ -79,7 +82,7 @@ class Plan:
 #: such with 0.9 in 10 %, unrelated ones in half.  A segment of 24 bits differs in at most one with probability
 #: 0.106 at 0.8, 0.166 at 0.85 and 0.273 at 0.9, so of 32 segments one does with 0.972, 0.997 and 1.000.
 #: Two unrelated ones share a signature with probability 32 * 24 / 2**23.
-SIMILAR = Plan(words=5, size=768, cuts=32, limit=34, similarity=0.8, sure=8)
+SIMILAR = Plan(words=5, size=768, cuts=32, limit=34, similarity=0.8, sure=8, lead=8)
 
 
 def _blocks(data: bytes):
@@ -210,18 +213,23 @@ def rest_bits(plan: Plan) -> list[int]:
     return [n for lo, hi in plan.segments for n in (hi - lo - (hi - lo) // 2, (hi - lo) // 2)]
 
 
-def halves(found: DataFrame, plan: Plan) -> DataFrame:
-    """packed, node, w0, w1: two rows a segment.  Packed are its number and half (from bit 32), that half's value (from bit 16), by
+def carried(found: DataFrame, plan: Plan) -> list[str]:
+    """The columns that go with a signature: node, the first two words and, if there is one, the root that is known."""
+    return ["node", *plan.parts[:2], *(["root"] if "root" in found.columns else [])]
+
+
+def halves(found: DataFrame, plan: Plan, some: slice = slice(None)) -> DataFrame:
+    """packed, node, w0, w1, maybe root: two rows for each of ``some`` segments.  Packed are its number and half (from bit 32), that half's value (from bit 16), by
     which the row is dealt, and the other half's."""
     if max(hi - lo for lo, hi in plan.segments) > 32:
         raise ValueError("a segment has at most 32 bits")
     rows = []
-    for i, (lo, hi) in enumerate(plan.segments):
+    for i, (lo, hi) in list(enumerate(plan.segments))[some]:
         value, half = segment(lo, hi), (hi - lo) // 2
         low, high = value.bitwiseAND(F.lit((1 << half) - 1)), F.shiftrightunsigned(value, half)
         for side, (own, rest) in enumerate(((low, high), (high, low))):
             rows.append(F.shiftleft(own, 16).bitwiseOR(rest).bitwiseOR(F.lit((2 * i + side) << 32)))
-    return found.select(F.explode(F.array(*rows)).alias("packed"), "node", *plan.parts[:2])
+    return found.select(F.explode(F.array(*rows)).alias("packed"), *carried(found, plan))
 
 
 def keyed(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -231,15 +239,15 @@ def keyed(rows: DataFrame, plan: Plan) -> DataFrame:
     return rows.select(F.explode(F.expr(key)).alias("key"), *[c for c in rows.columns if c != "packed"])
 
 
-def signature_rows(found: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
+def signature_rows(found: DataFrame, plan: Plan, some: slice = slice(None)) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ``halves`` (in order, each half's value whole in a partition), and rows with keys (likewise) of the values that more
     than a block of rows have, or None.
 
     A key with more than a block of rows has one row for each pair of blocks instead.  There are at most
     2 * cuts * 2**(half a segment's bits) values of halves, so those that are large are broadcast.
     """
-    n = partitions(found.sparkSession)
-    rows, coarse = halves(found, plan), F.shiftright("packed", 16)
+    n, names = partitions(found.sparkSession), carried(found, plan)
+    rows, coarse = halves(found, plan, some), F.shiftright("packed", 16)
     deal = lambda df: df.repartition(n, coarse).sortWithinPartitions("packed")
     large = written(rows.groupBy(coarse.alias("coarse")).count().filter(F.col("count") > plan.block).select("coarse"), "large")
     if large.isEmpty():
@@ -252,8 +260,8 @@ def signature_rows(found: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame |
     # the block of a row, and a row for each pair of blocks that it is in
     joined = keyed(hot, plan).join(written(split, "split"), "key", "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("mine")) * F.col("blocks") + F.greatest(o, F.col("mine")))
-    dealt = joined.select("key", F.explode(F.when(F.col("blocks").isNotNull(), pairs).otherwise(F.array(F.lit(-1)))).alias("pair"), "node", *plan.parts[:2])
-    dealt = dealt.select(F.when(F.col("pair") < 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"), "node", *plan.parts[:2])
+    dealt = joined.select("key", F.explode(F.when(F.col("blocks").isNotNull(), pairs).otherwise(F.array(F.lit(-1)))).alias("pair"), *names)
+    dealt = dealt.select(F.when(F.col("pair") < 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"), *names)
     return deal(small), dealt.repartition(n, "key").sortWithinPartitions("key")
 
 
@@ -361,8 +369,10 @@ def links(tables: tuple[DataFrame, DataFrame | None], plan: Plan, small: int = 1
     Without ``similarity``: such as are joined wherever links among the rows of a key join them (they may differ in
     more bits than a link; a chain of links leads from one to the other).  Else candidates, a the lesser: all pairs
     within the limit of a small group, ``nearest`` of others, without those that a task finds to be needless (``thin``).
+    Nodes of one root are joined already and are no candidates.
     """
     proven = plan.similarity is None
+    rooted = "root" in tables[0].columns
     wide = plan.size > 64
     bits = np.array(rest_bits(plan))
 
@@ -370,7 +380,7 @@ def links(tables: tuple[DataFrame, DataFrame | None], plan: Plan, small: int = 1
         d = np.bitwise_count(a ^ b)
         return (d + np.bitwise_count(a2 ^ b2) if wide else d) <= plan.limit
 
-    def met(key, node, w0, w1):
+    def met(key, node, w0, w1, root):
         """Names that the rows of equal keys (in order) join, or are candidates."""
         n = len(key)
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -398,6 +408,11 @@ def links(tables: tuple[DataFrame, DataFrame | None], plan: Plan, small: int = 1
             some, at = np.unique(np.concatenate([a, b]), return_inverse=True)
             joined = star(node[some], at[: len(a)], at[len(a) :])
             return joined and (*joined, np.zeros(len(joined[0]), np.int32))
+        if rooted:
+            new = root[a] != root[b]
+            if not new.any():
+                return None
+            a, b = a[new], b[new]
         d = np.bitwise_count(w0[a] ^ w0[b]).astype(np.int32) + (np.bitwise_count(w1[a] ^ w1[b]) if wide else 0)
         return np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), d
 
@@ -413,7 +428,7 @@ def links(tables: tuple[DataFrame, DataFrame | None], plan: Plan, small: int = 1
 
     def columns(got):
         node, w0 = got["node"].to_numpy(), got["w0"].to_numpy().view(np.uint64)
-        return node, w0, got["w1"].to_numpy().view(np.uint64) if wide else w0
+        return node, w0, got["w1"].to_numpy().view(np.uint64) if wide else w0, got["root"].to_numpy() if rooted else node
 
     def of_halves(batches):
         for got in _whole_groups(batches, 16):
@@ -615,7 +630,8 @@ def keep_first(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     """``docs`` with one document of each group: that with the smallest doc_id.
 
     With ``similarity`` the bits only say which documents are held against each other; groups are components of the
-    links that their whole shingle sets prove, and of equal sets.  Rows with a null doc_id are all kept; of rows that
+    links that their whole shingle sets prove, and of equal sets.  What the ``lead`` segments join is not sought again
+    under the others, where a large family would have a forest for each of its signatures.  Rows with a null doc_id are all kept; of rows that
     repeat a doc_id the one whose JSON is least stands for all of them.
     """
     named = docs.filter("doc_id is not null")
@@ -625,9 +641,16 @@ def keep_first(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
         named = written(named.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("row.*")), "once")
     prints = written(fingerprints(named, plan), "fingerprints")
     found = written(points(prints, plan), "points")
-    joined = written(links(signature_rows(found, plan), plan), "links")
-    if plan.similarity is not None:
-        joined = written(verified(named, thinned(joined, plan), plan), "verified")
+    if plan.similarity is None:
+        joined = written(links(signature_rows(found, plan), plan), "links")
+    else:
+        proven = lambda rows: written(verified(named, thinned(written(links(rows, plan), "links"), plan), plan), "verified")
+        first = slice(0, plan.lead or plan.cuts)
+        joined = proven(signature_rows(found, plan, first))
+        if first.stop < plan.cuts:
+            roots = written(components(joined), "roots")
+            rooted = written(found.select("node", *plan.parts).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+            joined = joined.unionByName(proven(signature_rows(rooted, plan, slice(first.stop, plan.cuts))))
     heads = found.select(F.col("node").alias("doc_id")).join(components(joined).select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
     kept = named.join(written(heads, "heads").hint("merge"), "doc_id", "left_semi")
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

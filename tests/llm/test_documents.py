@@ -204,6 +204,15 @@ def test_candidates_keep_the_classes_of_every_bound():
         assert classes(range(len(made)), [p for p in pairs if far(*p) <= most]) == classes(range(len(made)), [p for p in every if far(*p) <= most])
 
 
+def test_pairs_of_one_root_are_no_candidates(spark):
+    plan = simhash.SIMILAR
+    rows = [(i, *[7] * len(plan.parts), root) for i, root in ((1, 1), (2, 1), (3, 3))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ("node", *plan.parts, "root")))
+    for found, some in ((df, slice(plan.lead, plan.cuts)), (df.drop("root"), slice(0, plan.lead))):
+        got = {(r.a, r.b) for r in simhash.links(simhash.signature_rows(found, plan, some), plan).collect()}
+        assert got == ({(1, 3), (2, 3)} if "root" in found.columns else {(1, 2), (1, 3)})  # the third is needless: a chain of equal words
+
+
 def test_thinning_keeps_the_classes_of_every_bound(spark):
     draw = random.Random(8)
     pairs = {tuple(sorted(draw.sample(range(120), 2))): draw.randint(0, 30) for _ in range(2900)}
