@@ -622,8 +622,8 @@ def verified(docs: DataFrame, candidates: DataFrame, plan: Plan, chunk: int = 25
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
 
-    n = partitions(docs.sparkSession)
-    return rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", "place").mapInArrow(run, "a long, b long")
+    # without a number, so that small tables are compared and written by few tasks
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "place").mapInArrow(run, "a long, b long")
 
 
 def keep_first(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
