@@ -94,3 +94,23 @@ def harmonise_ids(rows: DataFrame, mapping: DataFrame, by: list[str], columns: l
     for c in columns:
         rows = rows.join(use.select(*by, F.col("old").alias(c), F.col("new").alias("_n")), [*by, c], "left").withColumn(c, F.coalesce("_n", c)).drop("_n")
     return rows
+
+
+def ordered_candidates(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with place: by type, those with a mapping first, then confidence, how far the source is believed, and key.
+
+    rows: by, key, source, diagram_type, mapped (boolean), confidence.
+    """
+    rank = ranked(F.col("source"), SEMANTIC_RANK)
+    order = Window.partitionBy(*by).orderBy("diagram_type", F.desc("mapped"), F.desc("confidence"), F.desc(rank), "key")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+def shared_authority(inputs: DataFrame, by: list[str]) -> DataFrame:
+    """by, id: evidence that every input of a scene may publish; a scene with an input that names none (null) has no rows.
+
+    inputs: by, input, ids (array).  Ids are counted, so no scene's sets meet in one row.
+    """
+    scenes = inputs.groupBy(*by).agg(F.count("*").alias("_n"), F.bool_or(F.col("ids").isNull()).alias("_open")).filter("not _open")
+    seen = inputs.select(*by, F.explode(F.array_distinct("ids")).alias("id")).groupBy(*by, "id").agg(F.count("*").alias("_seen"))
+    return seen.join(scenes, by).filter("_seen = _n").select(*by, "id")

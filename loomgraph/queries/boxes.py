@@ -121,26 +121,58 @@ def geometry_functions(spark, sf_dir):
     return b.select("id", tx.alias("tx"), ty.alias("ty"), F.round(unit[0], 9).alias("ux"), geom.reading_direction(F.col("x1") - 50, F.col("y1") - 40).alias("direction"), F.round(geom.distance(F.col("x1"), F.col("y1"), F.lit(10.0), F.lit(20.0)), 9).alias("far"))
 
 
-@query()
+def _greedy(bound: str, most: str = "") -> str:
+    """SQL of a greedy choice: a page's boxes in order, one a step, against the list of those that are kept."""
+    w, h = "greatest(0, least(s.x2, o.x2) - greatest(s.x1, o.x1))", "greatest(0, least(s.y2, o.y2) - greatest(s.y1, o.y1))"
+    whole = f"((s.x2 - s.x1) * (s.y2 - s.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - {w} * {h})"
+    return B.replace("WITH", "WITH RECURSIVE", 1) + f""", o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, (x2 - x1) * (y2 - y1) DESC, id) AS rn FROM b),
+f AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]) AS kept FROM b
+  UNION ALL SELECT f.page, k + 1, CASE WHEN {most} len(list_filter(kept, lambda s: {w} * {h} / {whole} > {bound})) > 0 THEN kept ELSE list_append(kept, {{'id': o.id, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}}) END FROM f JOIN o ON o.page = f.page AND o.rn = f.k + 1),
+e AS (SELECT page, arg_max(kept, k) AS kept FROM f GROUP BY page), chosen AS (SELECT page, unnest(list_transform(kept, lambda s: s.id)) AS id FROM e)"""
+
+
+REGIONS = _greedy("0.35", "len(kept) >= 8 OR")
+
+
+@query(REGIONS + " SELECT page, id FROM chosen")
 def nms_regions(spark, sf_dir):
     """Regions kept by descending confidence and area where none overlaps a kept one by over 0.35; at most 8 a page."""
     return spatial.greedy_keep(corpora.boxes(spark, sf_dir), 0.35, 8).select("page", "id")
 
 
-@query()
+@query(_greedy("0.8") + " SELECT page, id FROM chosen")
 def greedy_dedup(spark, sf_dir):
     """Contours kept greedily at an overlap below 0.8."""
     return spatial.greedy_keep(corpora.boxes(spark, sf_dir), 0.8).select("page", "id")
 
 
-@query()
+INTER_S = "(greatest(0, least(s.x2, o.x2) - greatest(s.x1, o.x1)) * greatest(0, least(s.y2, o.y2) - greatest(s.y1, o.y1)))"
+
+
+@query(B.replace("WITH", "WITH RECURSIVE", 1) + f""", o AS (SELECT *, CAST(id % 40 AS VARCHAR) AS key, row_number() OVER (PARTITION BY page ORDER BY id % 5 DESC, id) AS rn FROM b),
+f AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]) AS heads, CAST([] AS STRUCT(id BIGINT, key VARCHAR, c INTEGER)[]) AS seen FROM b
+  UNION ALL SELECT page, k + 1, CASE WHEN spot IS NULL THEN list_append(heads, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) ELSE heads END, list_append(seen, {{'id': id, 'key': key, 'c': coalesce(spot, CAST(len(heads) AS INTEGER))}})
+  FROM (SELECT *, CASE WHEN own IS NOT NULL THEN own WHEN list_max(iou) >= 0.45 THEN CAST(list_position(iou, list_max(iou)) - 1 AS INTEGER) END AS spot
+    FROM (SELECT f.page, k, heads, seen, o.id, o.key, o.x1, o.y1, o.x2, o.y2, list_filter(seen, lambda s: s.key = o.key)[1].c AS own,
+      list_transform(heads, lambda s: {INTER_S} / ((s.x2 - s.x1) * (s.y2 - s.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - {INTER_S})) AS iou FROM f JOIN o ON o.page = f.page AND o.rn = f.k + 1))),
+e AS (SELECT page, unnest(arg_max(seen, k)) AS s FROM f GROUP BY page)
+SELECT page, s.id AS id, s.c AS cluster FROM e""")
 def element_clusters(spark, sf_dir):
     """Elements of several observations in clusters: same key, else best overlap of at least 0.45."""
     b = corpora.boxes(spark, sf_dir)
     return spatial.greedy_clusters(b.withColumns({"key": (F.col("id") % 40).cast("string"), "rank": (F.col("id") % 5).cast("int")}))
 
 
-@query()
+def _close(x: str, y: str) -> str:
+    short = f"least(a.{y}2 - a.{y}1, b.{y}2 - b.{y}1)"
+    return f"(greatest(a.{x}1, b.{x}1) - least(a.{x}2, b.{x}2) <= 2 AND least(a.{y}2, b.{y}2) - greatest(a.{y}1, b.{y}1) >= 0.22 * {short} AND {short} > 0)"
+
+
+@query(B.replace("WITH", "WITH RECURSIVE", 1) + f""", e AS (SELECT a.page, a.id AS a, b.id AS b FROM b a JOIN b ON a.page = b.page AND a.id <> b.id
+  WHERE ((a.x1 <= b.x1 AND a.y1 <= b.y1 AND a.x2 >= b.x2 AND a.y2 >= b.y2) OR (a.x1 >= b.x1 AND a.y1 >= b.y1 AND a.x2 <= b.x2 AND a.y2 <= b.y2) OR {_close("x", "y")} OR {_close("y", "x")})
+  AND (greatest(a.x2, b.x2) - least(a.x1, b.x1)) * (greatest(a.y2, b.y2) - least(a.y1, b.y1)) <= 7200),
+r AS (SELECT page, id, id AS other FROM b UNION SELECT r.page, r.id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT page, id, min(other) AS component FROM r GROUP BY 1, 2""")
 def box_components(spark, sf_dir):
     """Boxes chained by containment or closeness."""
     return spatial.box_components(corpora.boxes(spark, sf_dir), 2.0, most_area=0.72 * 100 * 100)
@@ -196,7 +228,7 @@ def nearest_arrowhead(spark, sf_dir):
     return regions.nearest_point(corpora.points(spark, sf_dir), b, 9.0).select("pid", "mid")
 
 
-@query()
+@query(REGIONS + " SELECT page, id, 'page-diagram-' || lpad(CAST(row_number() OVER (PARTITION BY page ORDER BY y1, x1, score DESC, x2, y2) AS VARCHAR), 3, '0') AS region_id FROM b SEMI JOIN chosen USING (page, id)")
 def page_regions(spark, sf_dir):
     """Regions that stay after overlaps are resolved, named in reading order."""
     return regions.choose(corpora.boxes(spark, sf_dir)).select("page", "id", "region_id")

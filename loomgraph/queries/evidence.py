@@ -159,7 +159,8 @@ def evidence_budget(spark, sf_dir):
     return evidence.select(_evidence(spark, sf_dir), most=20, chars=300, least=5)
 
 
-@query()
+@query("""WITH t AS (SELECT o_orderkey, regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(20, 2)) AS VARCHAR), '\\.?0+$', '') || '000000000001' AS txt FROM orders)
+SELECT o_orderkey, txt, CAST(CAST(CAST(txt AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 14)) = CAST(txt AS DECIMAL(38, 14)) AS safe FROM t""")
 def decimal_round_trip(spark, sf_dir):
     """Whether decimal texts are what their nearest double prints as."""
     o = corpora.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(numeric.decimal_text(F.col("o_totalprice").cast("decimal(20,2)"), 2), F.lit("000000000001")).alias("txt"))

@@ -69,7 +69,17 @@ def earlier_dependency(spark, sf_dir):
     return d.groupBy("user_id").agg(F.count("*").alias("tasks"), F.count("dep").alias("dependent"), F.max(F.col("rn") - F.col("dep")).alias("longest"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT user_id AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE WHEN event_type IN ('click', 'view') THEN 'commit' WHEN event_type = 'purchase' THEN 'merge' ELSE 'branch' END AS op, 'b' || (event_id % 3) AS branch, 'c' || event_id AS id FROM events),
+f AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS hm, CAST(NULL AS VARCHAR) AS h0, CAST(NULL AS VARCHAR) AS h1, CAST(NULL AS VARCHAR) AS h2, 'main' AS now, 0 AS commits, 0 AS merges, CAST(NULL AS VARCHAR) AS error, 0 AS done FROM l
+  UNION ALL SELECT g, k + 1, CASE WHEN puts AND now = 'main' THEN id ELSE hm END,
+    CASE WHEN puts AND now = 'b0' THEN id WHEN opens AND branch = 'b0' THEN coalesce(h0, cur) ELSE h0 END, CASE WHEN puts AND now = 'b1' THEN id WHEN opens AND branch = 'b1' THEN coalesce(h1, cur) ELSE h1 END,
+    CASE WHEN puts AND now = 'b2' THEN id WHEN opens AND branch = 'b2' THEN coalesce(h2, cur) ELSE h2 END, CASE WHEN opens THEN branch ELSE now END, commits + CAST(puts AS INTEGER), merges + CAST(puts AND op = 'merge' AS INTEGER),
+    coalesce(error, (k + 1) || ': ' || bad), done + CAST(bad IS NULL AS INTEGER)
+  FROM (SELECT *, bad IS NULL AND op IN ('commit', 'merge') AS puts, bad IS NULL AND op = 'branch' AS opens
+    FROM (SELECT *, CASE WHEN op = 'branch' AND cur IS NULL THEN 'branch without a commit' WHEN op = 'merge' AND (other IS NULL OR branch = now) THEN 'merge of an unknown or the same branch' WHEN op = 'merge' AND (cur IS NULL OR cur = other) THEN 'merge without different heads' END AS bad
+      FROM (SELECT f.*, l.op, l.branch, l.id, CASE now WHEN 'main' THEN hm WHEN 'b0' THEN h0 WHEN 'b1' THEN h1 ELSE h2 END AS cur, CASE l.branch WHEN 'b0' THEN h0 WHEN 'b1' THEN h1 ELSE h2 END AS other FROM f JOIN l ON l.g = f.g AND l.seq = f.k + 1)))),
+e AS (SELECT g, arg_max(f, k) AS s FROM f GROUP BY g)
+SELECT CAST(g AS BIGINT) AS g, s.done AS operations, s.commits AS commits, CAST(1 + (s.h0 IS NOT NULL)::INT + (s.h1 IS NOT NULL)::INT + (s.h2 IS NOT NULL)::INT AS INTEGER) AS branches, s.now AS current, CASE s.now WHEN 'main' THEN s.hm WHEN 'b0' THEN s.h0 WHEN 'b1' THEN s.h1 ELSE s.h2 END AS head, s.merges AS merges, s.error AS error FROM e""")
 def gitgraph_replay(spark, sf_dir):
     """Commits, branches and merges replayed: the heads of each log, or its first error."""
     kind = F.when(F.col("event_type").isin("click", "view"), "commit").when(F.col("event_type") == "purchase", "merge").otherwise("branch")
@@ -79,7 +89,13 @@ def gitgraph_replay(spark, sf_dir):
     return ordered.git_replay(log)
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT user_id AS bundle, event_id, ['edit', 'undo', 'redo', 'edit', 'approve'][event_id % 5 + 1] AS op, CASE WHEN event_id % 7 = 0 THEN 0 END AS expected, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+f AS (SELECT DISTINCT bundle, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS version, 0 AS cursor, CAST([-1] AS BIGINT[]) AS timeline, 'pending' AS decision, 0 AS refused FROM l
+  UNION ALL SELECT bundle, k + 1, version + CAST(ok AS INTEGER), CASE WHEN NOT ok THEN cursor WHEN op IN ('edit', 'redo') THEN cursor + 1 WHEN op = 'undo' THEN cursor - 1 ELSE cursor END,
+    CASE WHEN ok AND op = 'edit' THEN list_append(timeline[1:cursor + 1], event_id) ELSE timeline END, CASE WHEN ok AND op = 'edit' THEN 'pending' WHEN ok AND op = 'approve' THEN 'approved' ELSE decision END, refused + CAST(NOT ok AS INTEGER)
+  FROM (SELECT f.*, l.op, l.event_id, (expected IS NULL OR expected = version) AND CASE l.op WHEN 'undo' THEN cursor > 0 WHEN 'redo' THEN cursor + 1 < len(timeline) ELSE true END AS ok FROM f JOIN l ON l.bundle = f.bundle AND l.seq = f.k + 1)),
+e AS (SELECT bundle, arg_max(f, k) AS s FROM f GROUP BY bundle)
+SELECT CAST(bundle AS BIGINT) AS bundle, s.version AS version, s.cursor AS cursor, s.timeline[s.cursor + 1] AS head, CAST(len(s.timeline) - 1 AS INTEGER) AS revisions, s.decision AS decision, s.refused AS refused FROM e""")
 def review_fold(spark, sf_dir):
     """Edits, undo, redo and checkout folded to a state; stale edits are refused."""
     e = corpora.table(spark, sf_dir, "events")
