@@ -50,6 +50,24 @@ def sankey(flows: DataFrame) -> DataFrame:
     return n.select("g", "node", "inflow", "outflow", total.alias("total"), numeric.hundredths(total / 100).alias("shown"), error.alias("error"))
 
 
+def sankey_native(nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    """g, nodes, flows, error (null: it can be shown as it is): labels differ and are plain, values are positive, flows join all
+    nodes and no others, and lead nowhere back.  nodes: g, id, label; flows: g, src, dst, value."""
+    from loomgraph.operators import graph
+
+    names = nodes.groupBy("g").agg(F.count("*").alias("nodes"), F.count_distinct("id").alias("ids"), F.count_distinct("label").alias("labels"), F.coalesce(F.bool_and(F.col("label").rlike(r"^[\x20-\x7E]*$")), F.lit(False)).alias("plain"))
+    ways = flows.groupBy("g").agg(F.count("*").alias("flows"), F.bool_and(F.coalesce(F.col("value") > 0, F.lit(False))).alias("positive"))
+    ends = flows.select("g", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("linked", F.lit(True))
+    both = nodes.select("g", "id").distinct().withColumn("known", F.lit(True)).join(ends, ["g", "id"], "full")
+    fit = both.groupBy("g").agg(F.bool_or(F.col("known").isNull()).alias("unknown"), F.bool_or(F.col("linked").isNull()).alias("loose"))
+    at = names.join(ways, "g", "left").join(fit, "g", "left").join(graph.acyclic(flows.select("g", "src", "dst").distinct()).select("g", "acyclic"), "g", "left")
+    error = first_error(
+        (F.col("ids") < F.col("nodes"), "duplicate id"), (F.col("unknown"), "unknown end"), (F.col("loose"), "node without a flow"), (F.col("labels") < F.col("nodes"), "duplicate label"),
+        (~F.col("plain"), "label is not plain"), (~F.col("positive"), "value is not positive"), (~F.col("acyclic"), "flows lead back"),
+    )
+    return at.select("g", "nodes", F.coalesce("flows", F.lit(0)).cast("long").alias("flows"), error.alias("error"))
+
+
 def treemap(leaves: DataFrame, levels: list[str], value: str = "value") -> DataFrame:
     """level columns, level, total, leaves, errors of each node: leaves without a positive value count
     as errors and not toward totals."""

@@ -46,7 +46,7 @@ KINDS = {
         Kind("swimlane", "flowchart LR", records=("lanes",)),
         Kind("bpmn", "flowchart LR", records=("lanes",)),
         Kind("state", "stateDiagram-v2", records=("states",), roles=("state", "choice", "fork", "join")),
-        Kind("class", "classDiagram", records=("classes",), tokens=("association", "dependency", "aggregation", "composition", "link", "inheritance", "realization"), arrow={"inheritance": "<|--", "composition": "*--", "aggregation": "o--", "dependency": "..>", "realization": "..|>", "link": "--"}),
+        Kind("class", "classDiagram", records=("classes",), tokens=("association", "dependency", "aggregation", "composition", "link", "inheritance", "realization"), arrow={"association": "--", "inheritance": "--|>", "composition": "*--", "aggregation": "o--", "dependency": "..>", "realization": "..|>", "link": "-->"}),
         Kind("er", "erDiagram", records=("entities",), tokens=tuple(CARDINALITIES), grouped=False, default_arrow="--"),
         Kind("requirement", "requirementDiagram", records=("requirements", "elements"), tokens=("contains", "copies", "derives", "satisfies", "verifies", "refines", "traces"), grouped=False),
         Kind("block", "block-beta", records=("blocks",)),

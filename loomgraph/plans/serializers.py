@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from loomgraph.plans import charts, network, ordered, trees
+from loomgraph.plans import charts, network, ordered, trees, uml
 
 
 class Registry:
@@ -38,3 +38,11 @@ class Registry:
         }.items():
             out.register(name, plan)
         return out
+
+    @classmethod
+    def serializers(cls) -> Registry:
+        """Those that give a diagram's code from its records."""
+        out = cls()
+        for name, code in {"class": uml.classes, "er": uml.entities, "requirement": uml.requirements}.items():
+            out.register(name, code)
+        return out

@@ -33,6 +33,22 @@ def sankey_plan(spark, sf_dir):
     return charts.sankey(corpora.flows(spark, sf_dir).select(F.lit(1).alias("g"), "src", "dst", F.col("cents").alias("value"))).drop("g")
 
 
+@query("""WITH p AS (SELECT p_size AS g, p_partkey AS id, CASE WHEN p_size % 7 = 0 THEN p_brand ELSE 'p' || p_partkey END AS label, lead(p_partkey) OVER w AS nxt, first_value(p_partkey) OVER w AS head FROM part WINDOW w AS (PARTITION BY p_size ORDER BY p_partkey)),
+f AS (SELECT g, id AS src, coalesce(nxt, head) AS dst, CASE WHEN g % 5 = 0 THEN id % 20 ELSE 1 END AS value FROM p WHERE (nxt IS NOT NULL OR g % 4 = 0) AND coalesce(nxt, head) <> id),
+n AS (SELECT g, count(*) AS nodes, count(DISTINCT label) AS labels FROM p GROUP BY g), v AS (SELECT g, count(*) AS flows, min(value) AS least FROM f GROUP BY g)
+SELECT CAST(g AS BIGINT) AS g, CAST(nodes AS BIGINT) AS nodes, CAST(coalesce(flows, 0) AS BIGINT) AS flows, CASE WHEN nodes = 1 THEN 'node without a flow' WHEN labels < nodes THEN 'duplicate label' WHEN least <= 0 THEN 'value is not positive' WHEN g % 4 = 0 THEN 'flows lead back' END AS error FROM n LEFT JOIN v USING (g)""")
+def sankey_native(spark, sf_dir):
+    """Whether flows can be shown as they are: chains of parts of a size, some closed to rings."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("g").orderBy("id")
+    p = corpora.table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("g"), F.col("p_partkey").cast("long").alias("id"), "p_brand")
+    at = p.select("g", "id", F.when(F.col("g") % 7 == 0, F.col("p_brand")).otherwise(F.concat(F.lit("p"), F.col("id").cast("string"))).alias("label"), F.lead("id").over(w).alias("nxt"), F.first("id").over(w).alias("head"))
+    dst = F.coalesce(F.col("nxt"), F.when(F.col("g") % 4 == 0, F.col("head")))
+    flows = at.select("g", F.col("id").alias("src"), dst.alias("dst"), F.when(F.col("g") % 5 == 0, F.col("id") % 20).otherwise(1).alias("value")).filter("dst is not null and dst <> src")
+    return charts.sankey_native(at.select("g", "id", "label"), flows)
+
+
 @query("""WITH l AS (SELECT r_name AS region, n_name AS nation, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 SELECT region, nation, CAST(coalesce(sum(cents) FILTER (WHERE cents > 0), 0) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE cents > 0) AS BIGINT) AS leaves, CAST(count(*) FILTER (WHERE cents <= 0) AS BIGINT) AS errors, CAST(2 - (grouping(region) + grouping(nation)) AS INTEGER) AS level FROM l GROUP BY ROLLUP (region, nation)""")
 def treemap_rollup(spark, sf_dir):
