@@ -13,6 +13,11 @@ name of a component is its component_id.  Within a signature's rows a family of
 proportion to its size.  A signature with too many rows for one task is cut into blocks and its pairs of blocks
 are dealt out.  Components then grow together over tables in the shared folder.
 
+Candidates are thinned to forests before whole sets are compared, and two similar sets need not share a signature.
+So whatever components that leaves apart are held against each other without fingerprints (``missed``): sets of a
+similarity share one of the first shingles that they have in an order common to all, and every pair that does and is
+not joined yet is compared.  The groups are those of all pairs.
+
 Defined results: a null or empty text has fingerprint 0, linked like any other; rows that repeat a
 doc_id are each in the result; a row with a null doc_id is grouped, but the null is no group's id
 unless the group has no other (such groups are named inside by numbers from the top of the range of long: ids
@@ -39,6 +44,10 @@ FORESTS = 3
 TIGHT = 13
 #: Bytes of text that are cut into words at a time.
 TEXT_BLOCK = 4 << 20
+#: A shingle of more rows than this comes after all others in the order, unless that makes more of them than can be sent to all tasks.
+COMMON, COMMON_MOST = 64, 1 << 20
+#: Bits that bound from below in how many shingles two sets differ.
+PARITY = 1024
 TOP = (1 << 63) - 1
 
 
@@ -257,12 +266,15 @@ def signature_rows(found: DataFrame, plan: Plan, some: slice = slice(None)) -> t
     # a key's rows are those of two values: it is hot only if one of these is
     seen = hot.groupBy("packed").count().filter(F.col("count") >= plan.block // 2)
     split = keyed(seen, plan).groupBy("key").agg(F.ceil((F.sum("count") + plan.block // 2) / plan.block).cast("int").alias("blocks")).filter("blocks > 1")
-    # the block of a row, and a row for each pair of blocks that it is in
-    joined = keyed(hot, plan).join(written(split, "split"), "key", "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return deal(small), in_blocks(keyed(hot, plan), written(split, "split"), names).repartition(n, "key").sortWithinPartitions("key")
+
+
+def in_blocks(rows: DataFrame, split: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` (key, ``names`` with node) with other keys for those in ``split`` (key, blocks): one for each pair of blocks that a row is in."""
+    joined = rows.join(split, "key", "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("mine")) * F.col("blocks") + F.greatest(o, F.col("mine")))
     dealt = joined.select("key", F.explode(F.when(F.col("blocks").isNotNull(), pairs).otherwise(F.array(F.lit(-1)))).alias("pair"), *names)
-    dealt = dealt.select(F.when(F.col("pair") < 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"), *names)
-    return deal(small), dealt.repartition(n, "key").sortWithinPartitions("key")
+    return dealt.select(F.when(F.col("pair") < 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"), *names)
 
 
 def span(w0: np.ndarray, w1: np.ndarray, near, tile: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -516,8 +528,8 @@ def thin(a: np.ndarray, b: np.ndarray, d: np.ndarray, forests: int) -> tuple[np.
 def thinned(candidates: DataFrame, plan: Plan, shares: int = 8) -> DataFrame:
     """``candidates`` (a, b, d; written) of which a task keeps FORESTS of its share, as long as that halves them.
 
-    A family of near copies has a forest under each of its signatures; this leaves some FORESTS * shares of them.  What is lost
-    needs that many nearest pairs between two parts to fail the comparison of whole sets, and a farther one to hold.
+    A family of near copies has a forest under each of its signatures; this leaves some FORESTS * shares of them.  Left out is a pair
+    that holds where that many nearer ones between two parts fail the comparison of whole sets; ``missed`` finds it.
     """
 
     def run(batches):
@@ -626,13 +638,182 @@ def verified(docs: DataFrame, candidates: DataFrame, plan: Plan, chunk: int = 25
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "place").mapInArrow(run, "a long, b long")
 
 
+def common(docs: DataFrame, plan: Plan) -> np.ndarray:
+    """High halves of the hashes of shingles that more than COMMON documents have (in order), or more of them if that
+    is needed to have at most COMMON_MOST.  Copies count, and hashes of equal halves together: this only orders."""
+    n, words, seed = partitions(docs.sparkSession), plan.words, plan.seed
+
+    def blocks(held):
+        flat = np.concatenate(held)
+        bucket = (flat >> np.uint64(24)) % np.uint64(n)
+        order = np.argsort(bucket, kind="stable")
+        high, ends = (flat[order] >> np.uint64(32)).astype("<u4"), np.searchsorted(bucket[order], np.arange(n + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(ends))
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([high[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary())], names=["bucket", "hashes"])
+
+    def cut(batches):
+        held, count = [], 0
+        for batch in batches:
+            for value in batch.column(0):
+                held.append(np.unique(shingle_hashes(value.as_py() or "", words, seed)))
+                count += len(held[-1])
+                if count > 1 << 20:
+                    yield blocks(held)
+                    held, count = [], 0
+        if count:
+            yield blocks(held)
+
+    def counted(batches):
+        held = [np.frombuffer(x.as_py(), "<u4") for batch in batches for x in batch.column(1)]
+        if held:
+            value, count = np.unique(np.concatenate(held), return_counts=True)
+            many = count > COMMON
+            yield pa.RecordBatch.from_arrays([pa.array(value[many], pa.int64()), pa.array(count[many], pa.int64())], names=["high", "count"])
+
+    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(cut, "bucket int, hashes binary").repartitionById(n, F.col("bucket"))
+    found = written(dealt.mapInArrow(counted, "high long, count long"), "common")
+    limit = COMMON
+    while found.filter(F.col("count") > limit).count() > COMMON_MOST:
+        limit *= 2
+    got = found.filter(F.col("count") > limit).select("high").toArrow()["high"].to_numpy()
+    return np.unique(got).astype(np.uint32)
+
+
+def first_shingles(hashes: np.ndarray, last: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of so many of a set's shingles that a set of this similarity has one of them, if it is cut likewise: the order is that of
+    the hashes, ``last`` (high halves) after all others.  The keys of those are below 0."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(last, high), len(last) - 1) if len(last) else None
+    late = last[at] == high if len(last) else np.zeros(len(hashes), bool)
+    need = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1
+    key = (hashes >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
+    return np.concatenate([key[~late], key[late]])[:need].view(np.int64)
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit for each of PARITY classes of shingles: whether the set has an odd number of them.  Two sets differ in no fewer
+    shingles than bits."""
+    return np.packbits((np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
+def missed(docs: DataFrame, joined: DataFrame, plan: Plan) -> DataFrame:
+    """a, b (doc_id, a < b; written) of different root that may be similar: none that is similar is left out.
+
+    docs: doc_id, text; joined: node, root.  Rows of the same first shingle meet; a pair whose sizes, or whose places of that
+    shingle, or whose ``parity`` leave too few for both is none.
+    """
+    ready(docs.sparkSession)
+    spark, n, similarity, words, seed = docs.sparkSession, partitions(docs.sparkSession), plan.similarity, plan.words, plan.seed
+    last = spark.sparkContext.broadcast(common(docs, plan))
+    both = similarity / (1 + similarity)
+
+    def cut(batches):
+        for batch in batches:
+            held, rows = [], 0
+            for i, value in enumerate(batch.column(2)):
+                hashes = np.unique(shingle_hashes(value.as_py() or "", words, seed))
+                held.append((i, len(hashes), parity(hashes), first_shingles(hashes, last.value, similarity)))
+                rows += len(held[-1][3]) + 1
+                if rows > 1 << 17 or i + 1 == batch.num_rows:
+                    # a row with the parity before those of a document's shingles
+                    size = np.array([len(k) + 1 for *_, k in held])
+                    head = np.cumsum(size) - size
+                    at = np.repeat(np.array([i for i, *_ in held]), size)
+                    key = np.zeros(rows, np.int64)
+                    bare = np.ones(rows, bool)
+                    bare[head] = False
+                    key[bare] = np.concatenate([k for *_, k in held])
+                    marks = np.full(rows, None, object)
+                    marks[head] = [m for _, _, m, _ in held]
+                    place = (np.repeat(np.array([k for _, k, *_ in held]), size) << 32) | np.maximum(np.arange(rows) - np.repeat(head, size) - 1, 0)
+                    to = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64(), mask=~bare), batch.column(0).take(to), batch.column(1).take(to), pa.array(place), pa.array(marks, pa.binary())], names=["key", "node", "root", "place", "parity"])
+                    held, rows = [], 0
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    sets = written(joined.select("node", "root").join(texts, "node").select("node", "root", "text").mapInArrow(cut, "key long, node long, root long, place long, parity binary"), "first")
+    rows, names = sets.filter("key is not null").select("key", "node", "root", "place"), ["node", "root", "place"]
+    large = written(rows.filter("key < 0").groupBy("key").count().filter(F.col("count") > plan.block).select("key", F.ceil((F.col("count") + plan.block // 2) / plan.block).cast("int").alias("blocks")).filter("blocks > 1"), "large")
+    if not large.isEmpty():
+        rows = in_blocks(rows, large, names)
+
+    def fit(x, y, i, j):
+        """Whether sets of x and y shingles with the first they share at i and j may be similar."""
+        return (np.minimum(x - i, y - j) >= both * (x + y) - 1e-6) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
+
+    def met(batches):
+        for got in _whole_groups(batches, 0):
+            key, node, root, place = (got[c].to_numpy() for c in ("key", *names))
+            size, at = place >> 32, place & 0xFFFFFFFF
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.diff(np.append(begin, len(key)))
+            some = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
+            group = np.repeat(np.arange(len(begin)), count)
+            few, step = np.flatnonzero((some & (count <= 16))[group]), 1
+            while len(few):
+                few = few[few + step < len(key)]
+                few = few[group[few + step] == group[few]]
+                a, b = few, few + step
+                hit = (root[a] != root[b]) & fit(size[a], size[b], at[a], at[b])
+                if hit.any():
+                    yield np.minimum(node[a[hit]], node[b[hit]]), np.maximum(node[a[hit]], node[b[hit]])
+                step += 1
+            some &= count > 16
+            for g, m in zip(begin[some].tolist(), count[some].tolist()):
+                # by size, so that those a row may be similar to are near it
+                own = g + np.argsort(size[g : g + m], kind="stable")
+                ends = np.searchsorted(size[own], size[own] / similarity + 1e-6, side="right")
+                for i in range(m - 1):
+                    a, rest = own[i], own[i + 1 : ends[i]]
+                    rest = rest[(root[rest] != root[a]) & fit(size[a], size[rest], at[a], at[rest])]
+                    if len(rest):
+                        yield np.minimum(node[a], node[rest]), np.maximum(node[a], node[rest])
+
+    def pairs(batches):
+        def distinct():
+            found = np.unique(np.stack([np.concatenate(x) for x in zip(*held)]), axis=1)
+            return [(found[0], found[1])]
+
+        held, count = [], 0
+        for a, b in met(batches):
+            held.append((a, b))
+            count += len(a)
+            if count > TASK_LINKS:
+                held = distinct()
+                count = len(held[0][0])
+                if count > TASK_LINKS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b"])
+                    held, count = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in distinct()[0]], names=["a", "b"])
+
+    found = written(rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct(), "pairs")
+
+    def near(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in batch.columns[2:4])
+                s, t = (c.to_numpy() >> 32 for c in batch.columns[4:])
+                most = (s + t) * (1 - 2 * both) + 1e-6
+                hold = pa.array(np.bitwise_count(x ^ y).sum(1) <= most)
+                yield pa.RecordBatch.from_arrays([c.filter(hold) for c in batch.columns[:2]], names=["a", "b"])
+
+    one = sets.filter("key is null").select("node", "parity", "place")
+    of = lambda c, i: one.select(F.col("node").alias(c), F.col("parity").alias(f"parity{i}"), F.col("place").alias(f"place{i}"))
+    marked = found.join(of("a", 0), "a").join(of("b", 1), "b").select("a", "b", "parity0", "parity1", "place0", "place1")
+    return written(marked.mapInArrow(near, "a long, b long"), "missed")
+
+
 def keep_first(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     """``docs`` with one document of each group: that with the smallest doc_id.
 
     With ``similarity`` the bits only say which documents are held against each other; groups are components of the
     links that their whole shingle sets prove, and of equal sets.  What the ``lead`` segments join is not sought again
-    under the others, where a large family would have a forest for each of its signatures.  Rows with a null doc_id are all kept; of rows that
-    repeat a doc_id the one whose JSON is least stands for all of them.
+    under the others, where a large family would have a forest for each of its signatures.  What all of them leave apart is compared
+    wherever it may be similar (``missed``), so no link between groups is lost.  Rows with a null doc_id are all kept; of rows that repeat a
+    doc_id the one whose JSON is least stands for all of them.
     """
     named = docs.filter("doc_id is not null")
     twice = written(named.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
@@ -646,11 +827,11 @@ def keep_first(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     else:
         proven = lambda rows: written(verified(named, thinned(written(links(rows, plan), "links"), plan), plan), "verified")
         first = slice(0, plan.lead or plan.cuts)
+        rooted = lambda joined: written(found.select("node", *plan.parts).join(components(joined), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
         joined = proven(signature_rows(found, plan, first))
         if first.stop < plan.cuts:
-            roots = written(components(joined), "roots")
-            rooted = written(found.select("node", *plan.parts).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-            joined = joined.unionByName(proven(signature_rows(rooted, plan, slice(first.stop, plan.cuts))))
+            joined = joined.unionByName(proven(signature_rows(rooted(joined), plan, slice(first.stop, plan.cuts))))
+        joined = joined.unionByName(written(verified(named, missed(named, rooted(joined), plan), plan), "verified"))
     heads = found.select(F.col("node").alias("doc_id")).join(components(joined).select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
     kept = named.join(written(heads, "heads").hint("merge"), "doc_id", "left_semi")
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -269,6 +269,50 @@ def test_keep_first_at_the_similarity(spark):
         assert {tuple(r) for r in simhash.verified(docs, pairs, loose, chunk).collect()} == {(1, 2), (1, 5), (2, 5), (7, 8)}
 
 
+def near_texts():
+    """Texts of 1 to 300 words in families with all likenesses, with a line that many share."""
+    draw, rows = random.Random(11), []
+    for f in range(12):
+        base = [f"f{f}w{i}" for i in range(draw.choice((1, 4, 6, 9, 40, 120, 300)))]
+        for _ in range(12):
+            words, at = list(base), draw.randrange(len(base))
+            words[at : at + draw.randint(0, len(base) // 6)] = [f"x{draw.random()}" for _ in range(draw.randint(0, len(base) // 8))]
+            rows.append(" ".join(words + ["a line that many of the texts have in common"] * draw.randint(0, 1)))
+    return list(enumerate([*rows, "", None, rows[5]], 1))
+
+
+def true_links(rows):
+    sets = {d: frozenset(simhash.shingle_hashes(t or "", 5, 42).tolist()) for d, t in rows}
+    return {p for p in combinations(sets, 2) if (s := sets[p[0]]) == (t := sets[p[1]]) or len(s & t) / len(s | t) >= 0.8}
+
+
+@pytest.mark.parametrize("block, common", [(20_000, 64), (10, 5), (10, 0)])
+def test_no_pair_of_the_similarity_is_missed(spark, monkeypatch, block, common):
+    monkeypatch.setattr(simhash, "COMMON", common)
+    rows, plan = near_texts(), simhash.Plan(words=5, size=768, cuts=32, similarity=0.8, block=block)
+    links = true_links(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for root in (lambda d: d, lambda d: d % 3):
+        joined = spark.createDataFrame([(d, root(d)) for d, _ in rows], "node long, root long")
+        pairs = [tuple(r) for r in simhash.missed(docs, joined, plan).collect()]
+        # two empty sets have no shingle to meet by; as copies they are one point before
+        want = {(a, b) for a, b in links if root(a) != root(b) and rows[a - 1][1]}
+        assert want <= set(pairs) and len(set(pairs)) == len(pairs) < 3 * len(want)
+        assert all(a < b and root(a) != root(b) for a, b in pairs)
+
+
+def test_groups_are_those_of_all_pairs(spark, monkeypatch):
+    """Also if thinning leaves out every candidate, or signatures hardly ever meet."""
+    rows = near_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(min, classes([d for d, _ in rows], true_links(rows))))
+    assert len(want) < len(rows) - 20
+    kept = lambda plan: sorted(r.doc_id for r in simhash.keep_first(docs, plan).collect())
+    assert kept(simhash.Plan(words=5, size=128, cuts=4, limit=1, similarity=0.8, lead=2)) == want
+    monkeypatch.setattr(simhash, "thinned", lambda candidates, plan: candidates.limit(0))
+    assert kept(simhash.SIMILAR) == want
+
+
 def test_rows_that_repeat_a_doc_id_are_one(spark):
     rows = [(1, "b " * 30, 2), (1, "a b c d e f g", 9), (2, "x y z u v w", None), (2, "x y z u v w", None), (3, "x y z u v w", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
